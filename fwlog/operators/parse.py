@@ -8,6 +8,7 @@ is no shuffle and no Python on this path, and columns nobody asks for are pruned
 from __future__ import annotations
 
 from string import ascii_letters
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,6 +152,25 @@ def _extras() -> Column:
     )
 
 
+def parser_counters() -> list[Column]:
+    """Aggregates over ``reason``; usable in ``agg`` and in ``observe`` (A1)."""
+    reason = F.col("reason")
+    return [
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(reason.isNull()).alias("parsed"),
+        F.count_if(reason.isNotNull()).alias("failed"),
+    ]
+
+
+def observed(df: DataFrame, component: str, counters: list[Column]) -> DataFrame:
+    """Running counters of a step, reported to listeners under ``component-…`` (T5).
+
+    The step is also where a later filter stops: pushed further down, a filter on a
+    parsed column would repeat the whole chain of patterns inside its condition.
+    """
+    return df.observe(f"{component}-{uuid4().hex}", *counters)
+
+
 def parse(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds the record columns, ``extras`` and ``reason`` to every row.
 
@@ -208,7 +228,7 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
         _t("sys").isNotNull() | _t("found"),
         F.coalesce(_t("sys")["action"], session_action(F.col("fw_action"), F.col("event"))),
     )
-    return df.select(
+    done = df.select(
         *given,
         *[
             F.coalesce(F.col(c), _t("sys")[c]).alias(c) if c in _SHARED else F.col(c)
@@ -222,3 +242,4 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
         reason.alias("reason"),
         F.lit(None).cast("string").alias("_csv_timestamp"),
     )
+    return observed(done, "parser", parser_counters())

@@ -8,26 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fwlog.functions.text import DIGIT, WS, extract, strip
+from fwlog.functions.render import formatter_counters
 from fwlog.operators.delivery import long_form
-
-
-def parser_counters() -> list[Column]:
-    """Aggregates over ``reason``; usable in ``agg`` and in ``observe`` (A1)."""
-    reason = F.col("reason")
-    return [
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(reason.isNull()).alias("parsed"),
-        F.count_if(reason.isNotNull()).alias("failed"),
-    ]
-
-
-def formatter_counters(message: str = "message") -> list[Column]:
-    """Aggregates over formatted parsed lines (A2)."""
-    parsed = F.col("reason").isNull()
-    return [
-        F.count_if(parsed & F.col(message).isNotNull()).alias("formatted"),
-        F.count_if(parsed & F.col(message).isNull()).alias("skipped"),
-    ]
+from fwlog.operators.parse import parser_counters
 
 
 def parser_stats(parsed: DataFrame) -> DataFrame:

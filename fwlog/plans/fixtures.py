@@ -151,3 +151,170 @@ def session_lines(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> Dat
     return generated(keyed_events(spark, sf_dir, copies)).select(
         F.col("e").alias("msg_id"), session_line().alias("value")
     )
+
+
+# SHARED: system log lines, by e % 7.
+SYSTEM_GENERATED = {
+    "g_module": "CASE e % 7 WHEN 0 THEN 'WEB/5/LOGIN' WHEN 1 THEN 'WEB/5/LOGOUT' "
+                "WHEN 2 THEN 'SHELL/6/SHELL_CMD' WHEN 3 THEN 'CFGMAN/5/CFG_CHANGED' "
+                "WHEN 4 THEN 'IFNET/3' WHEN 5 THEN CASE e % 4 WHEN 0 THEN 'AAA/4/LOGIN_FAILED' "
+                "WHEN 1 THEN 'aaa/4/CONN_DENIED' WHEN 2 THEN 'AAA/4/LINK_UP' ELSE 'AAA/4/SVC_STOP' END "
+                "ELSE 'NTP/5/NTP_SYNC' END",
+    "g_ip": "CASE WHEN e % 11 = 0 THEN '300.1.1.1' ELSE "
+            "concat('10.', e % 200, '.', u % 250, '.', e % 254 + 1) END",
+    "g_line": "CASE WHEN e % 13 = 0 THEN '' ELSE concat('vty', e % 5) END",
+    "g_state": "CASE WHEN e % 2 = 0 THEN 'DOWN' ELSE 'up' END",
+}
+# SHARED: free text of a system log.
+SYSTEM_TEXT = (
+    "CASE e % 7 WHEN 0 THEN concat('u', u, ' logged in from ', g_ip) "
+    "WHEN 1 THEN concat('u', u, ' logged out from ', g_ip) "
+    "WHEN 2 THEN CASE WHEN e % 2 = 0 "
+    "THEN concat('-Line=', g_line, '-IPAddr=', g_ip, '-User=u', u, '; Command is display ', t) "
+    "ELSE concat('Line=', g_line, ' IPAddr=', g_ip, ' User=u', u, '; Command is display ', t) END "
+    "WHEN 3 THEN concat('Configuration is changed by u', u) "
+    "WHEN 4 THEN concat('Interface GigabitEthernet1/0/', e % 24, ' changed to ', g_state) "
+    "WHEN 5 THEN concat('from 300.1.1.1 via ', g_ip, ' to 172.16.0.', e % 250, ' user: u', u, '.,') "
+    "ELSE concat('clock in sync ', e) END"
+)
+
+
+def system_lines(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
+    df = keyed_events(spark, sf_dir, copies)
+    df = df.select("*", *[F.expr(sql.replace("VARCHAR(20)", "STRING")).alias(n)
+                          for n, sql in SYSTEM_GENERATED.items()])
+    far = F.concat(F.lit("<14> 10.16.18.9 some words FW-03 %%10 VsysId:3 "), F.col("g_module"))
+    near = F.concat(F.lit("FW-02 %%10"), F.col("g_module"))
+    head = F.when(F.col("e") % 5 == 0, far).otherwise(near)
+    return df.select(
+        F.col("e").alias("msg_id"),
+        F.concat(head, F.lit(": "), F.expr(SYSTEM_TEXT)).alias("value"),
+    )
+
+
+def csv_lines(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
+    """Physical lines of a CSV export: header, blank, short and full lines."""
+    e = F.col("e")
+    host = F.when(e % 7 == 0, '"fw ""q"""').otherwise("10.16.18.1")
+    quoted = F.concat(F.lit('"'), F.replace(session_line(), F.lit('"'), F.lit('""')), F.lit('"'))
+    full = F.concat(F.lit('"2026-03-13 10:24:05",'), host, F.lit(","), quoted, F.lit(",extra"))
+    value = (
+        F.when(e == 0, "Timestamp,Hostname,RawData")
+        .when(e % 61 == 0, "")
+        .when(e % 59 == 0, "x,Protocol(1001)=TCP;SrcPort(1004)=5")
+        .when(e % 53 == 0, '"2026-03-13 10:24:05",nothing here')
+        .otherwise(full)
+    )
+    return generated(keyed_events(spark, sf_dir, copies)).select(
+        e.alias("msg_id"), value.alias("value")
+    )
+
+
+# SHARED: arrival time in milliseconds and sender of message e.
+TRAFFIC_MILLIS = "1704067200000 + e + CAST((e - e % 700) / 700 AS BIGINT) * 300"
+TRAFFIC_SENDER = "CASE WHEN e % 2 = 0 THEN '10.10.0.1' ELSE concat('10.10.0.', e % 5 + 2) END"
+
+
+def traffic(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
+    """RAW messages with arrival time and sender; one sender has half of them."""
+    e = F.col("e")
+    return keyed_events(spark, sf_dir, copies).select(
+        e.alias("msg_id"),
+        F.timestamp_millis(F.expr(TRAFFIC_MILLIS)).alias("recv_ts"),
+        F.expr(TRAFFIC_SENDER).alias("client_ip"),
+        F.when(e % 19 == 0, "   ").otherwise(F.concat(F.lit("m"), e)).alias("value"),
+    )
+
+
+def sessions(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
+    """Collector sessions over the traffic time, with gaps; every seventh is refused."""
+    j = ((F.col("e") - F.col("e") % 5000) / 5000).cast("bigint")
+    steps = keyed_events(spark, sf_dir, copies).select(j.alias("j")).distinct()
+    start = F.lit(1704067200000) + F.col("j") * 7000
+    return steps.select(
+        F.concat(F.lit("c"), F.col("j")).alias("collector_id"),
+        F.timestamp_millis(start).alias("connected_at"),
+        F.timestamp_millis(start + 3000 + F.col("j") % 3 * 2500).alias("disconnected_at"),
+        (F.col("j") % 7 != 6).alias("allowed"),
+    )
+
+
+def access_log(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
+    e = F.col("e")
+    return keyed_events(spark, sf_dir, copies).select(
+        e.alias("msg_id"),
+        F.when(e % 3 == 0, "10.0.0.5").when(e % 3 == 1, "192.0.2.7").otherwise("no-address").alias("peer"),
+        F.when(e % 17 == 0, "bad, 1.2.3.4")
+        .when(e % 5 == 0, F.lit(None))
+        .otherwise(F.concat(F.lit(" 203.0.113."), e % 200, F.lit(" , 10.0.0.9")))
+        .alias("xff"),
+    )
+
+
+def senders(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
+    """Messages from addresses of both families, some of them no address at all."""
+    e = F.col("e")
+    address = (
+        F.when(e % 4 == 0, F.col("g_src"))
+        .when(e % 4 == 1, F.col("g_dst"))
+        .when(e % 4 == 2, F.concat(F.lit("2001:db"), e % 3 + 7, F.lit("::"), e % 9999))
+        .otherwise(F.concat(F.lit("192.168.1."), e % 300))
+    )
+    return generated(keyed_events(spark, sf_dir, copies)).select(
+        e.alias("msg_id"), address.alias("client_ip")
+    )
+
+
+def bulk_requests(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
+    """Request documents of 40 lines each, with malformed and oversized ones between."""
+    e = F.col("e")
+    r = F.col("request_id")
+    lines = generated(keyed_events(spark, sf_dir, copies)).select(
+        ((e - e % 40) / 40).cast("bigint").alias("request_id"), e.alias("e"),
+        session_line().alias("value"),
+    )
+    grouped = lines.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("e", "value"))).alias("rows")
+    )
+    good = F.to_json(F.struct(F.col("rows.value").alias("lines")))
+    many = F.concat(F.lit('{"lines":['), F.array_join(F.array_repeat(F.lit('"x"'), 1001), ","), F.lit("]}"))
+    body = (
+        F.when(r % 10 == 3, "not json")
+        .when(r % 10 == 5, '{"lines": []}')
+        .when(r % 10 == 6, "[1]")
+        .when(r % 10 == 7, '{"lines": "x"}')
+        .when(r % 10 == 8, '{"other": 1}')
+        .when(r % 10 == 9, many)
+        .otherwise(good)
+    )
+    return grouped.select("request_id", body.alias("body"))
+
+
+def single_requests(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
+    e = F.col("e")
+    line = session_line()
+    body = (
+        F.when(e % 8 == 0, F.to_json(F.struct(line.alias("raw"))))
+        .when(e % 8 == 1, "")
+        .when(e % 8 == 2, '{"raw": ""}')
+        .when(e % 8 == 3, '{"other": 1}')
+        .when(e % 8 == 4, line)
+        .when(e % 400 == 5, F.repeat(F.lit("x"), 65537))
+        .when(e % 8 == 6, "[1,2]")
+        .otherwise("nothing to see")
+    )
+    return generated(keyed_events(spark, sf_dir, copies)).select(
+        e.alias("msg_id"), body.alias("body")
+    )
+
+
+def delivery_log(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
+    """One row per message and delivery vector."""
+    e = F.col("e")
+    return keyed_events(spark, sf_dir, copies).select(
+        e.alias("msg_id"),
+        F.inline(F.array(
+            F.struct(F.lit("rsyslog").alias("vector"), (e % 9 != 0).alias("ok")),
+            F.struct(F.lit("udp").alias("vector"), (e % 6 != 0).alias("ok")),
+        )),
+    )

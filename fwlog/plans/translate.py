@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fwlog.functions.crypto import encrypt
-from fwlog.functions.render import add_envelope, add_message
+from fwlog.functions.render import add_envelope, add_message, formatter_counters
 from fwlog.operators.csvlog import parse_csv
-from fwlog.operators.parse import parse
+from fwlog.operators.parse import observed, parse
 from fwlog.sinks import writers
 from fwlog.sources import files, requests
 
 
 def translate(df: DataFrame, mode: str = "cef", value: str = "value") -> DataFrame:
     """Record columns, ``reason`` and ``message`` for every line; no shuffle."""
-    return add_message(parse(df, value), mode)
+    return observed(add_message(parse(df, value), mode), "formatter", formatter_counters())
 
 
 def translate_csv(df: DataFrame, mode: str = "cef") -> DataFrame:
-    return add_message(parse_csv(df), mode)
+    return observed(add_message(parse_csv(df), mode), "formatter", formatter_counters())
 
 
 def format_records(records: DataFrame, mode: str = "cef") -> DataFrame:
