@@ -61,22 +61,44 @@ def _groups(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(padded)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once and written once into the plan."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _quad_as_groups(bare: Column, quad: Column) -> Column:
+    digits = _v4_hex(quad)
+    return F.concat(
+        F.substring(bare, F.lit(1), F.length(bare) - F.length(quad)),
+        F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4),
+    )
+
+
+def _filled(left: Column, right: Column) -> Column:
+    zeros = F.array_repeat(F.lit("0000"), F.lit(8) - F.size(left) - F.size(right))
+    return F.concat(left, zeros, right)
+
+
 def _v6_hex(c: Column) -> Column:
+    def expand(plain):
+        both = _let(
+            F.struct(
+                _groups(F.split_part(plain, F.lit("::"), F.lit(1))).alias("left"),
+                _groups(F.split_part(plain, F.lit("::"), F.lit(2))).alias("right"),
+            ),
+            lambda g: _filled(g["left"], g["right"]),
+        )
+        return F.array_join(
+            F.when(F.contains(plain, F.lit("::")), both).otherwise(_groups(plain)), ""
+        )
+
     bare = F.split_part(c, F.lit("%"), F.lit(1))
-    quad = F.regexp_extract(bare, rf"({_V4})\z", 1)
-    quad_hex = _v4_hex(F.nullif(quad, F.lit("")))
-    plain = F.when(
-        quad != "",
-        F.concat(
-            F.substring(bare, F.lit(1), F.length(bare) - F.length(quad)),
-            F.substring(quad_hex, 1, 4), F.lit(":"), F.substring(quad_hex, 5, 4),
+    return _let(
+        bare,
+        lambda b: _let(
+            F.regexp_extract(b, rf"({_V4})\z", 1),
+            lambda q: _let(F.when(q == "", b).otherwise(_quad_as_groups(b, q)), expand),
         ),
-    ).otherwise(bare)
-    left = _groups(F.split_part(plain, F.lit("::"), F.lit(1)))
-    right = _groups(F.split_part(plain, F.lit("::"), F.lit(2)))
-    zeros = F.array_repeat(F.lit("0000"), F.lit(8) - F.size(left) - F.size(right))
-    return F.array_join(
-        F.when(F.contains(plain, F.lit("::")), F.concat(left, zeros, right)).otherwise(left), ""
     )
 
 
@@ -92,7 +114,7 @@ def _masked(hex_text: Column, bits: Column, fill: str) -> Column:
     whole = F.floor(bits / 4).cast("int")
     rest = (bits % 4).cast("int")
     digit = F.conv(F.substring(hex_text, whole + 1, F.lit(1)), 16, 10).cast("int")
-    low = F.shiftright(F.lit(15), rest)
+    low = F.call_function("shiftright", F.lit(15), rest)
     kept = digit.bitwiseAND(F.lit(15).bitwiseXOR(low))
     mixed = F.lower(F.hex(kept if fill == "0" else kept.bitwiseOR(low)))
     head = F.concat(F.substring(hex_text, F.lit(1), whole), F.when(rest > 0, mixed).otherwise(""))
@@ -109,35 +131,43 @@ def network(entry: Column) -> Column:
     A bare host gets ``/32`` in either family, host bits are masked off, and the
     mask of an IPv4 network may also be a dotted net mask or host mask.
     """
-    has_mask = F.contains(entry, F.lit("/"))
+    slashes = F.length(entry) - F.length(F.replace(entry, F.lit("/"), F.lit("")))
     host = F.split_part(entry, F.lit("/"), F.lit(1))
-    mask = F.when(has_mask, F.substring_index(entry, "/", -1)).otherwise("32")
-    one_slash = F.length(entry) - F.length(F.replace(entry, F.lit("/"), F.lit(""))) <= 1
-    addr = address_hex(host)
-    is4 = F.length(addr) == 8
-    width = F.when(is4, 32).otherwise(128)
-    number = F.when(F.rlike(mask, F.lit(r"^[0-9]{1,9}\z")), mask.cast("int"))
-    dotted = F.when(is4 & is_v4(mask), _dotted_bits(mask))
-    bits = F.coalesce(number, dotted)
-    ok = one_slash & addr.isNotNull() & bits.isNotNull() & (bits <= width)
-    return F.when(
-        ok,
-        F.struct(
-            F.when(is4, 4).otherwise(6).alias("family"),
-            bits.alias("bits"),
-            _masked(addr, bits, "0").alias("lo"),
-            _masked(addr, bits, "f").alias("hi"),
-        ),
-    )
+    mask = F.when(slashes == 1, F.substring_index(entry, "/", -1)).when(slashes == 0, "32")
+
+    def of_host(h):
+        is4 = F.length(h["hex"]) == 8
+        number = F.when(F.rlike(h["mask"], F.lit(r"^[0-9]{1,9}\z")), h["mask"].cast("int"))
+        dotted = F.when(is4 & is_v4(h["mask"]), _dotted_bits(h["mask"]))
+        return _let(
+            F.struct(h["hex"].alias("hex"), is4.alias("is4"), F.coalesce(number, dotted).alias("bits")),
+            ranged,
+        )
+
+    def ranged(n):
+        fits = n["bits"] <= F.when(n["is4"], 32).otherwise(128)
+        return F.when(
+            n["hex"].isNotNull() & fits,
+            F.struct(
+                F.when(n["is4"], 4).otherwise(6).alias("family"),
+                n["bits"].alias("bits"),
+                _masked(n["hex"], n["bits"], "0").alias("lo"),
+                _masked(n["hex"], n["bits"], "f").alias("hi"),
+            ),
+        )
+
+    return _let(F.struct(address_hex(host).alias("hex"), mask.alias("mask")), of_host)
 
 
 def _dotted_bits(mask: Column) -> Column:
-    text = F.lpad(F.conv(_v4_hex(mask), 16, 2), 32, "0")
-    ones = F.length(F.replace(text, F.lit("0"), F.lit("")))
-    return (
-        F.when(F.rlike(text, F.lit(r"^1*0*\z")), ones)
-        .when(F.rlike(text, F.lit(r"^0*1*\z")), 32 - ones)
-    )
+    def bits(text):
+        ones = F.length(F.replace(text, F.lit("0"), F.lit("")))
+        return (
+            F.when(F.rlike(text, F.lit(r"^1*0*\z")), ones)
+            .when(F.rlike(text, F.lit(r"^0*1*\z")), 32 - ones)
+        )
+
+    return _let(F.lpad(F.conv(_v4_hex(mask), 16, 2), 32, "0"), bits)
 
 
 def list_entries(c: Column) -> Column:

@@ -27,7 +27,8 @@ def flag_member(df: DataFrame, address: str, networks: DataFrame, name: str) ->
     """
     ranges = _small(networks)
     if ranges is not None:
-        return df.select("*", in_ranges(address_hex(F.col(address)), ranges).alias(name))
+        hexed = df.select("*", address_hex(F.col(address)).alias("__hex"))
+        return hexed.select(*df.columns, in_ranges(F.col("__hex"), ranges).alias(name))
 
     sizes = [r["bits"] for r in networks.select("bits").distinct().collect()]  # at most 129
     nets = networks.select("family", "bits", F.col("lo").alias("prefix")).distinct()

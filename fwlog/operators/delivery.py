@@ -41,7 +41,7 @@ def deliver_to_sessions(
     first = slot(F.unix_micros("connected_at"), width)
     last = slot(F.unix_micros("disconnected_at") - 1, width)
     opened = opened.select("*", F.explode(F.sequence(first, last)).alias("__bucket")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("__salt")
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("__salt")
     )
     keyed = messages.select(
         "*",
