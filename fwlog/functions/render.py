@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fwlog import vocab
 from fwlog.functions.actions import event_code
+from fwlog.functions.memo import once
 from fwlog.functions.text import CONTROL, lookup, rstrip, sql_array
 
 _CONTROL_CHARS = "".join(map(chr, [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F]))
@@ -57,7 +58,12 @@ def _staged(df: DataFrame, columns) -> DataFrame:
     return df.select("*", F.concat_ws("", "__shown").alias("__joined"))
 
 
-def _key_values(df: DataFrame, columns, name: str) -> DataFrame:
+def _formattable() -> Column:
+    return F.col("proto").isNotNull() & (F.col("__joined") != "")
+
+
+@once
+def _key_values(columns: tuple) -> Column:
     """``k=v`` pairs in the given order, null when the record has no ``proto``."""
     shown, leads = F.col("__shown"), [f"{c}=" for c in columns]
     dirty = F.rlike("__joined", F.lit(r"[\x00-\x1f\x7f;=]"))
@@ -66,11 +72,7 @@ def _key_values(df: DataFrame, columns, name: str) -> DataFrame:
     quick = F.concat_ws("\x01", _with_leads(leads, shown))
     quick = F.replace(F.replace(quick, F.lit(" "), F.lit("_")), F.lit("\x01"), F.lit(" "))
     careful = F.concat_ws(" ", _with_leads(leads, F.transform(shown, clean_kv)))
-    text = F.when(dirty, careful).otherwise(quick)
-    return _staged(df, columns).select(
-        *df.columns,
-        F.when(F.col("proto").isNotNull() & (F.col("__joined") != ""), text).alias(name),
-    )
+    return F.when(_formattable(), F.when(dirty, careful).otherwise(quick))
 
 
 def cef_severity(action: Column) -> Column:
@@ -94,7 +96,8 @@ def _cef_leads():
         yield f"{key}Label={label} {key}=" if label else f"{key}="
 
 
-def _cef(df: DataFrame, name: str) -> DataFrame:
+@once
+def _cef() -> Column:
     """Full CEF message, null when the record has no ``proto`` or no value."""
     action, shown = F.coalesce(F.col("action"), F.lit("unknown")), F.col("__shown")
     dirty = F.rlike("__joined", F.lit(rf"[{CONTROL}\\=\n\r]"))
@@ -106,13 +109,7 @@ def _cef(df: DataFrame, name: str) -> DataFrame:
         cef_severity(action).cast("string"), F.lit("|"),
         F.concat_ws(" ", _with_leads(_cef_leads(), values)),
     )
-    return _staged(df, [c for c, _ in vocab.CEF_KEYS]).select(
-        *df.columns,
-        F.when(
-            F.col("proto").isNotNull() & (F.col("__joined") != ""),
-            F.substring(message, 1, vocab.CEF_MAX_CHARS),
-        ).alias(name),
-    )
+    return F.when(_formattable(), F.substring(message, 1, vocab.CEF_MAX_CHARS))
 
 
 def formatter_counters(message: str = "message") -> list[Column]:
@@ -127,12 +124,13 @@ def formatter_counters(message: str = "message") -> list[Column]:
 def add_message(df: DataFrame, mode: str = "cef", name: str = "message") -> DataFrame:
     """Adds the text of each record in mode core, extended or cef; any other mode
     means cef. Null for a record that cannot be formatted (X15)."""
-    mode = mode.lower()
-    if mode == "core":
-        return _key_values(df, vocab.CORE_COLUMNS, name)
-    if mode == "extended":
-        return _key_values(df, vocab.CORE_COLUMNS + vocab.EXTENDED_COLUMNS, name)
-    return _cef(df, name)
+    columns = {
+        "core": vocab.CORE_COLUMNS,
+        "extended": vocab.CORE_COLUMNS + vocab.EXTENDED_COLUMNS,
+    }.get(mode.lower())
+    text = _key_values(columns) if columns else _cef()
+    shown = columns or tuple(c for c, _ in vocab.CEF_KEYS)
+    return _staged(df, shown).select(*df.columns, text.alias(name))
 
 
 def priority(facility: str | Column, severity: str | Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fwlog import vocab
 from fwlog.functions.actions import session_action
+from fwlog.functions.memo import once
 from fwlog.functions.net import is_address
 from fwlog.functions.text import (
     BLANKS, DIGIT, NWS, WS, after, extract, none_if_empty, sql_array, sql_text, strip,
@@ -56,35 +57,37 @@ def _t(name: str) -> Column:
     return F.col(_TEMP + name)
 
 
-def _add(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.select("*", *[c.alias(_TEMP + n) for n, c in columns.items()])
+def _named(**columns: Column) -> list[Column]:
+    return [c.alias(_TEMP + n) for n, c in columns.items()]
 
 
-def split_header(df: DataFrame, value: str = "value") -> DataFrame:
-    """Adds ``__line``, the header pieces and ``__payload``."""
+def _add(df: DataFrame, columns: list[Column]) -> DataFrame:
+    return df.select("*", *columns)
+
+
+@once
+def _header_steps() -> list[list[Column]]:
+    """``__line``, the header pieces and ``__payload``, one list per projection."""
     marked = F.contains(_t("rest"), F.lit("%%"))
-    df = _add(df, line=strip(F.col(value)))
-    df = _add(df, prefix=extract(_t("line"), PREFIX, 0))
-    df = _add(df, rest=after(_t("line"), _t("prefix")))
-    df = _add(df, header=F.when(marked, extract(_t("rest"), HEADER, 0)).otherwise(F.lit("")))
-    df = _add(
-        df,
-        marker=F.when(
-            marked & (_t("header") == ""), extract(_t("rest"), MARKER, 0)
-        ).otherwise(F.lit("")),
-    )
-    df = _add(
-        df,
-        module_text=F.when(
-            _t("marker") != "", extract(after(_t("rest"), _t("marker")), MODULE, 0)
-        ).otherwise(F.lit("")),
-    )
-    return _add(
-        df,
-        payload=after(_t("rest"), F.concat(_t("header"), _t("marker"), _t("module_text"))),
-    )
+    no_header = marked & (_t("header") == "")
+    none = F.lit("")
+    return [
+        _named(prefix=extract(_t("line"), PREFIX, 0)),
+        _named(rest=after(_t("line"), _t("prefix"))),
+        _named(header=F.when(marked, extract(_t("rest"), HEADER, 0)).otherwise(none)),
+        _named(marker=F.when(no_header, extract(_t("rest"), MARKER, 0)).otherwise(none)),
+        _named(
+            module_text=F.when(
+                _t("marker") != "", extract(after(_t("rest"), _t("marker")), MODULE, 0)
+            ).otherwise(none)
+        ),
+        _named(
+            payload=after(_t("rest"), F.concat(_t("header"), _t("marker"), _t("module_text")))
+        ),
+    ]
 
 
+@once
 def header_columns() -> dict[str, Column]:
     """Header metadata, read from the short header pieces only."""
     prefix, header, module_text = _t("prefix"), _t("header"), _t("module_text")
@@ -134,6 +137,7 @@ def _last_address(column: str) -> Column:
     return F.when(last.isNull() | _usable(last), last).otherwise(strip(F.get(kept, 0)["v"]))
 
 
+@once
 def _extras() -> Column:
     """Unknown keys with their last value."""
     keys = _t("keys")
@@ -171,55 +175,49 @@ def observed(df: DataFrame, component: str, counters: list[Column]) -> DataFrame
     return df.observe(f"{component}-{uuid4().hex}", *counters)
 
 
-def parse(df: DataFrame, value: str = "value") -> DataFrame:
-    """Adds the record columns, ``extras`` and ``reason`` to every row.
+@once
+def _pair_steps() -> list[list[Column]]:
+    """P5: reversed keys and values, so that the first hit is the last occurrence."""
+    found = {
+        n: F.reverse(F.regexp_extract_all(_t("payload"), F.lit(FIELD), F.lit(g)))
+        for n, g in (("keys", 1), ("vals", 2))
+    }
+    last = {f"last_{c}": _last_value(_COLUMN_KEYS[c]) for c in vocab.ADDRESS_COLUMNS}
+    return [_named(**found), _named(**last)]
 
-    ``reason`` is null for a parsed line, else why it failed; ``__line`` and the
-    other helper columns are gone from the result. Null means the key is absent,
-    ``''`` that it is present without a value.
-    """
-    given = df.columns
-    df = split_header(df, value)
 
-    pairs = F.lit(FIELD)
-    df = _add(
-        df,
-        keys=F.reverse(F.regexp_extract_all(_t("payload"), pairs, F.lit(1))),
-        vals=F.reverse(F.regexp_extract_all(_t("payload"), pairs, F.lit(2))),
-    )
-    df = _add(
-        df,
-        **{f"last_{c}": _last_value(_COLUMN_KEYS[c]) for c in vocab.ADDRESS_COLUMNS},
-    )
-    heads = header_columns()
+@once
+def _session_columns() -> list[Column]:
+    """P6 and the header, all read from the pairs and the header pieces."""
     known = F.expr(
         f"array_contains({_TEMP}keys, {sql_text(_COLUMN_KEYS['proto'])}) OR "
         f"arrays_overlap({_TEMP}keys, {sql_array(_PLAIN_KEYS)})"
     )
-    df = df.select(
-        *given,
-        *[_t(c) for c in ("line", "payload", "keys", "vals")],
-        F.coalesce(known, F.lit(False)).alias(_TEMP + "known"),
-        *[c.alias(n) for n, c in heads.items()],
-        *[_last_address(c).alias(c) for c in vocab.ADDRESS_COLUMNS],
-        *[
-            _last_value(_COLUMN_KEYS[c]).alias(c)
-            for c in vocab.SESSION_COLUMNS
-            if c not in vocab.ADDRESS_COLUMNS
-        ],
-    )
+    values = [
+        (_last_address(c) if c in vocab.ADDRESS_COLUMNS else _last_value(_COLUMN_KEYS[c])).alias(c)
+        for c in vocab.SESSION_COLUMNS
+    ]
+    heads = [c.alias(n) for n, c in header_columns().items()]
+    kept = [_t(c) for c in ("line", "payload", "keys", "vals")]
+    return [*kept, *_named(known=F.coalesce(known, F.lit(False))), *heads, *values]
+
+
+@once
+def _system_steps() -> list[list[Column]]:
+    """P11-P20 for lines without a recognised field whose module has a slash."""
     any_address = F.coalesce(*[F.col(c) for c in vocab.ADDRESS_COLUMNS]).isNotNull()
-    df = _add(df, found=_t("known") | any_address)
-    # A module with a slash makes an unrecognised line a system log.
     gate = ~_t("found") & F.contains(F.col("_module"), F.lit("/"))
-    df = _add(df, text=F.when(gate, strip(_t("payload"))))
-    df = _add(df, kind=F.when(_t("text").isNotNull(), syslogs.kind(_t("text"))))
-    df = _add(
-        df,
-        sys=F.when(
-            _t("kind").isNotNull(), syslogs.details(_t("kind"), F.col("_module"), _t("text"))
-        ),
-    )
+    detail = syslogs.details(_t("kind"), F.col("_module"), _t("text"))
+    return [
+        _named(found=_t("known") | any_address),
+        _named(text=F.when(gate, strip(_t("payload")))),
+        _named(kind=F.when(_t("text").isNotNull(), syslogs.kind(_t("text")))),
+        _named(sys=F.when(_t("kind").isNotNull(), detail)),
+    ]
+
+
+@once
+def _record_columns() -> list[Column]:
     reason = (
         F.when(_t("line").isNull() | (_t("line") == ""), "empty_line")
         .when(~_t("found") & _t("sys").isNull(), "no_recognized_fields")
@@ -228,18 +226,32 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
         _t("sys").isNotNull() | _t("found"),
         F.coalesce(_t("sys")["action"], session_action(F.col("fw_action"), F.col("event"))),
     )
-    done = df.select(
-        *given,
+    return [
         *[
             F.coalesce(F.col(c), _t("sys")[c]).alias(c) if c in _SHARED else F.col(c)
             for c in vocab.SESSION_COLUMNS
         ],
-        "hostname",
+        F.col("hostname"),
         action.alias("action"),
-        *vocab.HEADER_COLUMNS,
+        *[F.col(c) for c in vocab.HEADER_COLUMNS],
         *[_t("sys")[c].alias(c) for c in vocab.SYSTEM_COLUMNS],
         _extras().alias("extras"),
         reason.alias("reason"),
         F.lit(None).cast("string").alias("_csv_timestamp"),
-    )
-    return observed(done, "parser", parser_counters())
+    ]
+
+
+def parse(df: DataFrame, value: str = "value") -> DataFrame:
+    """Adds the record columns, ``extras`` and ``reason`` to every row.
+
+    ``reason`` is null for a parsed line, else why it failed. Null means the key is
+    absent, ``''`` that it is present without a value.
+    """
+    given = df.columns
+    df = _add(df, _named(line=strip(F.col(value))))
+    for step in _header_steps() + _pair_steps():
+        df = _add(df, step)
+    df = df.select(*given, *_session_columns())
+    for step in _system_steps():
+        df = _add(df, step)
+    return observed(df.select(*given, *_record_columns()), "parser", parser_counters())
