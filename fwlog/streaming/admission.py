@@ -2,7 +2,9 @@
 
 A micro-batch hands a key's rows over in any order, so they are sorted by
 ``(recv_ts, msg_id)`` before counting; the source's rows per batch are capped by
-the reader. State per key is one or two numbers and expires by itself.
+the reader. State per key is one or two numbers and expires with the watermark. A
+row more than ``late`` behind the newest arrival is refused: the count of its window
+is gone by then.
 """
 
 from __future__ import annotations
@@ -15,7 +17,11 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from fwlog import vocab
 from fwlog.operators.admission import window_number
 
-_IDLE_MILLIS = 10 * 60 * 1000
+LATE = "1 hour"
+
+
+def _expire_at(state, millis: int) -> None:
+    state.setTimeoutTimestamp(int(max(millis, state.getCurrentWatermarkMs() + 1)))
 
 
 def _in_order(chunks) -> pd.DataFrame:
@@ -28,6 +34,7 @@ def admit_tumbling_stream(
     per_source: int = vocab.SOURCE_CAP,
     seconds: int = vocab.SOURCE_CAP_SECONDS,
     start_micros: int = 0,
+    late: str = LATE,
 ) -> DataFrame:
     """First ``per_source`` rows of a sender per tumbling window.
 
@@ -40,22 +47,25 @@ def admit_tumbling_stream(
             return
         used = state.get[0] if state.exists else 0
         rows = _in_order(chunks).head(max(per_source - used, 0))
-        state.update((used + len(rows),))
-        state.setTimeoutDuration(_IDLE_MILLIS)
+        state.update((int(used + len(rows)),))
+        _expire_at(state, (start_micros + (key[1] + 1) * seconds * 1_000_000) // 1000)
         yield rows[names]
 
     names = df.columns
-    keyed = df.select("*", window_number(F.col("recv_ts"), seconds, start_micros).alias("__window"))
+    keyed = df.withWatermark("recv_ts", late).select("*", window_number(F.col("recv_ts"), seconds, start_micros).alias("__window"))
     return keyed.groupBy("client_ip", "__window").applyInPandasWithState(
-        count, df.schema, "used long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        count, df.schema, "used long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def admit_anchored_stream(
-    df: DataFrame, limit: int = vocab.REQUEST_CAP, seconds: int = vocab.REQUEST_CAP_SECONDS
+    df: DataFrame,
+    limit: int = vocab.REQUEST_CAP,
+    seconds: int = vocab.REQUEST_CAP_SECONDS,
+    late: str = LATE,
 ) -> DataFrame:
     """First ``limit`` rows of a sender per window anchored at its first row."""
-    width = pd.Timedelta(seconds=seconds).value // 1000
+    width = seconds * 1_000_000
 
     def count(key, chunks, state):
         if state.hasTimedOut:
@@ -72,12 +82,12 @@ def admit_anchored_stream(
             taken = min(end - i, limit - used)
             keep.extend(range(i, i + max(taken, 0)))
             used, i = used + max(taken, 0), end
-        state.update((anchor, used))
-        state.setTimeoutDuration(_IDLE_MILLIS)
+        state.update((int(anchor), int(used)))
+        _expire_at(state, (anchor + width) // 1000)
         yield rows.iloc[keep][names]
 
     names = df.columns
-    return df.groupBy("client_ip").applyInPandasWithState(
+    return df.withWatermark("recv_ts", late).groupBy("client_ip").applyInPandasWithState(
         count, df.schema, "anchor long, used long", "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
