@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fwlog.operators.admission import slot
 from fwlog.sources.lists import destination_array, is_safe_destination
 
-BUCKET_SECONDS = 3600
+BUCKET_SECONDS = 60
 SALTS = 8
 
 
@@ -28,8 +28,8 @@ def deliver_to_sessions(
 ) -> DataFrame:
     """Every message to every collector connected at that moment; others are dropped.
 
-    Interval join by equality on (hour, salt) with the exact bounds as a filter.
-    The salt spreads a busy hour over several tasks; Spark broadcasts the sessions
+    Interval join by equality on (minute, salt) with the exact bounds as a filter.
+    The salt spreads a busy minute over several tasks; Spark broadcasts the sessions
     by itself when they are small. ``until`` closes sessions that are still open.
     """
     width = BUCKET_SECONDS * 1_000_000
