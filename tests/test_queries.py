@@ -1,7 +1,8 @@
 import pytest
 
-import __spark_entry__ as entry
 from compare import connect, difference
+from fwlog.plans.oracles import ORACLES
+from fwlog.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -12,9 +13,9 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert difference(entry.queries()[name](spark, SMALL), con, entry.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SMALL), con, ORACLES[name]) is None
