@@ -1,10 +1,12 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
+from fwlog.llm.license_scan import op5_license_scan
 from fwlog.llm.sentencepiece_bpe import op8_sentencepiece
+from fwlog.llm.simhash_dedup import op6_simhash_dedup
 
 QUERIES = {
     f.__name__: f
-    for f in (op8_sentencepiece,)
+    for f in (op5_license_scan, op6_simhash_dedup, op8_sentencepiece)
 }
 
 ORACLES: dict[str, str] = {}
