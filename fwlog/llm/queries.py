@@ -1,12 +1,14 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
+from fwlog.llm.language_id import op4_language_id
 from fwlog.llm.license_scan import op5_license_scan
 from fwlog.llm.sentencepiece_bpe import op8_sentencepiece
 from fwlog.llm.simhash_dedup import op6_simhash_dedup
+from fwlog.llm.toxicity import op1_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op5_license_scan, op6_simhash_dedup, op8_sentencepiece)
+    for f in (op1_toxicity, op4_language_id, op5_license_scan, op6_simhash_dedup, op8_sentencepiece)
 }
 
 ORACLES: dict[str, str] = {}
