@@ -1,14 +1,24 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
+from fwlog.llm import topk_search, url_reputation
+from fwlog.llm.embedding_dedup import op10_embedding_dedup
 from fwlog.llm.language_id import op4_language_id
 from fwlog.llm.license_scan import op5_license_scan
 from fwlog.llm.sentencepiece_bpe import op8_sentencepiece
 from fwlog.llm.simhash_dedup import op6_simhash_dedup
+from fwlog.llm.topk_search import op7_exact_topk
 from fwlog.llm.toxicity import op1_toxicity
+from fwlog.llm.url_reputation import op2_url_reputation
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op4_language_id, op5_license_scan, op6_simhash_dedup, op8_sentencepiece)
+    for f in (
+        op1_toxicity, op2_url_reputation, op4_language_id, op5_license_scan, op6_simhash_dedup, op7_exact_topk,
+        op8_sentencepiece, op10_embedding_dedup,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_url_reputation": url_reputation.ORACLE,
+    "op7_exact_topk": topk_search.ORACLE,
+}
