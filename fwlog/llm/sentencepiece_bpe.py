@@ -381,10 +381,10 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text", ids: str =
     return df.mapInArrow(run, out_schema(df, **{ids: ArrayType(IntegerType()), decoded: StringType()}))
 
 
-def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts and digests of the ids and decoded texts."""
+def digests(encoded: DataFrame, *keep: str) -> DataFrame:
+    """Counts and digests of the ids and decoded texts, beside the columns to keep."""
     return encoded.select(
-        key,
+        *keep,
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -399,4 +399,4 @@ def model_path() -> str:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(encode_decode(docs, model_path()))
+    return digests(encode_decode(docs, model_path()), "doc_id")
