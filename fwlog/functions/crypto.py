@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Passphrases that are refused.
-_REFUSED = ("", "changeme", "CHANGE_ME_USE_A_STRONG_PASSPHRASE")
+_REFUSED = ("", "CHANGE_ME_USE_A_STRONG_PASSPHRASE", "changeme")
 
 
 def key_of(passphrase: str) -> Column:

@@ -181,12 +181,3 @@ def allows_all(c: Column) -> Column:
     from fwlog.functions.text import strip
 
     return strip(c).isin("0.0.0.0", "0.0.0.0/0")
-
-
-def in_ranges(hex_text: Column, ranges) -> Column:
-    """Membership in a short, already known list of ``(lo, hi)`` hex ranges."""
-    hit = F.lit(False)
-    for lo, hi in ranges:
-        same = F.length(hex_text) == len(lo)
-        hit = hit | (same & hex_text.between(F.lit(lo), F.lit(hi)))
-    return F.coalesce(hit, F.lit(False))

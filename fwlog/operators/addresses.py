@@ -5,40 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fwlog.functions.net import address_hex, in_ranges, masked_prefix
+from fwlog.functions.net import address_hex, masked_prefix
 from fwlog.functions.text import strip
 
-# Up to this many networks become constants of the plan.
-LITERAL_NETWORKS = 64
-
-
-def _small(networks: DataFrame) -> list | None:
-    """The ranges if the list is short enough to be part of the plan, else None."""
-    rows = networks.select("lo", "hi").distinct().limit(LITERAL_NETWORKS + 1).collect()
-    return [tuple(r) for r in rows] if len(rows) <= LITERAL_NETWORKS else None
-
 
 def flag_member(df: DataFrame, address: str, networks: DataFrame, name: str) -> DataFrame:
     """Adds a flag: is the address inside any of the networks?
 
-    A short list is compiled into the row expression: no join, no shuffle. A long
-    one is matched by equality on (prefix length, masked prefix) over the distinct
-    addresses, so no pair of address and network is ever enumerated.
+    Matched by equality on (prefix length, masked prefix) over the distinct addresses, so
+    no pair of address and network is ever enumerated. The prefix lengths in use are one
+    row of at most 33 + 129 numbers.
     """
-    ranges = _small(networks)
-    if ranges is not None:
-        hexed = df.select("*", address_hex(F.col(address)).alias("__hex"))
-        return hexed.select(*df.columns, in_ranges(F.col("__hex"), ranges).alias(name))
-
-    sizes = [r["bits"] for r in networks.select("bits").distinct().collect()]  # at most 129
+    sizes = networks.agg(F.collect_set("bits").alias("__sizes"))
     nets = networks.select("family", "bits", F.col("lo").alias("prefix")).distinct()
     seen = df.select(F.col(address).alias("__address")).distinct()
-    seen = seen.select("*", address_hex(F.col("__address")).alias("__hex"))
-    probes = seen.filter(F.col("__hex").isNotNull()).select(
+    seen = seen.select("*", address_hex(F.col("__address")).alias("__hex")).filter(F.col("__hex").isNotNull())
+    probes = seen.crossJoin(F.broadcast(sizes)).select(
         "__address",
         F.when(F.length("__hex") == 8, 4).otherwise(6).alias("family"),
         "__hex",
-        F.explode(F.array(*[F.lit(s) for s in sizes])).alias("bits"),
+        F.explode("__sizes").alias("bits"),
     ).filter(F.col("bits") <= F.length("__hex") * 4)
     probes = probes.select(
         "__address", "family", "bits", masked_prefix(F.col("__hex"), F.col("bits")).alias("prefix")
@@ -55,9 +41,9 @@ def flag_member(df: DataFrame, address: str, networks: DataFrame, name: str) ->
 
 def split_by_allow_list(df: DataFrame, address: str, networks: DataFrame) -> DataFrame:
     """Adds ``allowed``. No network at all allows every row, even an invalid address."""
-    if networks.limit(1).count() == 0:
-        return df.select("*", F.lit(True).alias("allowed"))
-    return flag_member(df, address, networks, "allowed")
+    empty = networks.agg((F.count(F.lit(1)) == 0).alias("__empty"))  # one row
+    flagged = flag_member(df, address, networks, "__member").crossJoin(F.broadcast(empty))
+    return flagged.select(*df.columns, (F.col("__member") | F.col("__empty")).alias("allowed"))
 
 
 def allowed(df: DataFrame, address: str, networks: DataFrame) -> DataFrame:

@@ -52,8 +52,8 @@ def admit_tumbling(
     )
     # Rank of a source = arrival of its first row. Ranking inside salted slices
     # first leaves at most SALTS x max_sources rows for the ranking of a window.
-    firsts = capped.filter(F.col("__n") == 1).select(
-        source, "__window", ts, tie, F.pmod(F.xxhash64(source), F.lit(SALTS)).alias("__salt")
+    firsts = numbered.groupBy(source, "__window").agg(F.min(F.struct(ts, tie)).alias("__first")).select(
+        source, "__window", "__first.*", F.pmod(F.xxhash64(source), F.lit(SALTS)).alias("__salt")
     )
     slice_order = Window.partitionBy("__window", "__salt").orderBy(*order)
     window_order = Window.partitionBy("__window").orderBy(*order)

@@ -9,7 +9,8 @@ from fwlog.operators.admission import slot
 from fwlog.sources.lists import destination_array, is_safe_destination
 
 BUCKET_SECONDS = 60
-SALTS = 8
+#: Longest dyadic interval of a session's cover: 2**14 minutes, about eleven days.
+TOP_LEVEL = 14
 
 
 def fan_out(messages: DataFrame, destinations: str | Column) -> DataFrame:
@@ -19,37 +20,54 @@ def fan_out(messages: DataFrame, destinations: str | Column) -> DataFrame:
     return messages.select("*", F.explode(safe).alias("destination"))
 
 
+def _cover(first: Column, end: Column) -> Column:
+    """Dyadic intervals (level, node) that make up the slots from first up to end."""
+    def odd(x):
+        return x.bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    parts = []
+    for k in range(TOP_LEVEL):
+        lo, hi = F.shiftright(first + ((1 << k) - 1), k), F.shiftright(end, k)
+        for taken, node in ((odd(lo), lo), (odd(hi), hi - 1)):
+            parts.append(F.when((lo < hi) & taken, F.struct(F.lit(k).alias("level"), node.alias("node"))))
+    lo, hi = F.shiftright(first + ((1 << TOP_LEVEL) - 1), TOP_LEVEL), F.shiftright(end, TOP_LEVEL)
+    whole = F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
+    top = F.transform(whole, lambda n: F.struct(F.lit(TOP_LEVEL).alias("level"), n.alias("node")))
+    return F.concat(F.array_compact(F.array(*parts)), top)
+
+
+def session_intervals(sessions: DataFrame, until: Column) -> DataFrame:
+    """Every session as dyadic intervals of minutes: at most about 28, and one per further eleven days."""
+    width = BUCKET_SECONDS * 1_000_000
+    opened = sessions.select(
+        "collector_id", "connected_at",
+        F.coalesce("disconnected_at", until).alias("disconnected_at"),
+    ).filter(F.col("connected_at") < F.col("disconnected_at"))
+    first = slot(F.unix_micros("connected_at"), width)
+    last = slot(F.unix_micros("disconnected_at") - 1, width)
+    return opened.select("*", F.inline(_cover(first, last + 1)).alias("__level", "__node"))
+
+
 def deliver_to_sessions(
     messages: DataFrame,
     sessions: DataFrame,
     ts: str = "recv_ts",
-    tie: str = "msg_id",
     until: Column | None = None,
 ) -> DataFrame:
     """Every message to every collector connected at that moment; others are dropped.
 
-    Interval join by equality on (minute, salt) with the exact bounds as a filter.
-    The salt spreads a busy minute over several tasks; Spark broadcasts the sessions
-    by itself when they are small. ``until`` closes sessions that are still open.
+    Interval join by equality on (level, node) of the sessions' dyadic intervals, with the
+    exact bounds as a filter. A message probes the levels that occur, which are one row of
+    at most 15 numbers. ``until`` closes sessions that are still open.
     """
     width = BUCKET_SECONDS * 1_000_000
-    until = F.current_timestamp() if until is None else until
-    opened = sessions.select(
-        "collector_id", "connected_at",
-        F.coalesce("disconnected_at", until).alias("disconnected_at"),
-    ).filter(F.col("connected_at") < F.col("disconnected_at"))
-    first = slot(F.unix_micros("connected_at"), width)
-    last = slot(F.unix_micros("disconnected_at") - 1, width)
-    opened = opened.select("*", F.explode(F.sequence(first, last)).alias("__bucket")).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("__salt")
-    )
-    keyed = messages.select(
-        "*",
-        slot(F.unix_micros(ts), width).alias("__bucket"),
-        F.pmod(F.xxhash64(tie), F.lit(SALTS)).alias("__salt"),
-    )
+    opened = session_intervals(sessions, F.current_timestamp() if until is None else until)
+    levels = opened.agg(F.collect_set("__level").alias("__levels"))
+    keyed = messages.select("*", slot(F.unix_micros(ts), width).alias("__slot")).crossJoin(F.broadcast(levels))
+    keyed = keyed.select("*", F.explode("__levels").alias("__level")).withColumn(
+        "__node", F.expr("shiftright(__slot, __level)"))
     inside = (F.col("connected_at") <= F.col(ts)) & (F.col(ts) < F.col("disconnected_at"))
-    return keyed.join(opened, ["__bucket", "__salt"]).filter(inside).select(
+    return keyed.join(opened, ["__level", "__node"]).filter(inside).select(
         *messages.columns, "collector_id"
     )
 

@@ -57,6 +57,14 @@ def snapshot(parts: dict[str, list[DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def long_rows(df: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """One row of counters as ``component metric value``, read once."""
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("component"), F.lit(c).alias("metric"), F.col(c).cast("bigint").alias("value"))
+        for name, own in columns.items() for c in own
+    ])))
+
+
 def count_by(parsed: DataFrame, column: str) -> DataFrame:
     """Rows per value of ``src``, ``dport`` or ``action`` (A10); partial counts are
     made before the shuffle, so a hot value costs one row per task."""

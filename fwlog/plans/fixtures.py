@@ -49,18 +49,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of few file splits feeds every core before a costly projection.
-
-    Real log input has thousands of splits and passes through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, "event_id") if len(df.inputFiles()) < cores else df
-
-
 def keyed_events(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
     """Rows (e, u, t, v): every event, repeated with consecutive keys."""
-    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     return events.select(
         F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("k"), "*"
     ).select(
@@ -266,7 +257,7 @@ def senders(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame
 
 
 def bulk_requests(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
-    """Request documents of 40 lines each, with malformed and oversized ones between."""
+    """Request documents of 40 lines each, and malformed and oversized ones beside them."""
     e = F.col("e")
     r = F.col("request_id")
     lines = generated(keyed_events(spark, sf_dir, copies)).select(
@@ -285,12 +276,12 @@ def bulk_requests(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> Dat
         .when(r % 10 == 7, '{"lines": "x"}')
         .when(r % 10 == 8, '{"other": 1}')
         .when(r % 10 == 9, many)
-        .otherwise(good)
     )
-    return grouped.select("request_id", body.alias("body"))
+    bad = grouped.select((-r - 1).alias("request_id"), body.alias("body")).filter(F.col("body").isNotNull())
+    return grouped.select("request_id", good.alias("body")).unionByName(bad)
 
 
-def single_requests(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
+def single_requests(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
     e = F.col("e")
     line = session_line()
     body = (

@@ -14,10 +14,6 @@ _KEYED = (
     "k AS (SELECT event_id * 6 + i AS e, user_id AS u, event_type AS t, "
     "CAST(floor(value * 10) AS BIGINT) AS v FROM events, range(6) r(i))"
 )
-_ONCE = (
-    "k AS (SELECT event_id AS e, user_id AS u, event_type AS t, "
-    "CAST(floor(value * 10) AS BIGINT) AS v FROM events)"
-)
 _GENERATED = "g AS (SELECT *, " + ", ".join(
     f"{sql} AS {name}" for name, sql in fx.GENERATED.items()
 ) + " FROM k)"
@@ -158,7 +154,7 @@ _CSV_HOST = "CASE WHEN e % 7 = 0 THEN 'fw \"q\"' ELSE '10.16.18.1' END"
 _CSV = f"WITH {_KEYED}, c AS (SELECT *, {_CSV_KIND} AS kind FROM k)"
 
 _TRAFFIC = (
-    f"WITH RECURSIVE {_KEYED}, m AS (SELECT e AS msg_id, e, "
+    f"WITH {_KEYED}, m AS (SELECT e AS msg_id, e, "
     f"({fx.TRAFFIC_MILLIS}) * 1000 AS us, {fx.TRAFFIC_SENDER} AS client_ip FROM k), "
     "w AS (SELECT *, us // 10000000 AS win FROM m), "
     "capped AS (SELECT * FROM (SELECT *, row_number() OVER "
@@ -199,7 +195,7 @@ _BULK = (
     _P + f", b AS (SELECT k.e, (k.e - k.e % 40) // 40 AS request_id, k.e % 40 AS \"index\", "
     f"x.message FROM k LEFT JOIN (SELECT msg_id, {_EXTENDED} AS message FROM p) x ON x.msg_id = k.e)"
 )
-_BULK_ALL = f"{_BULK}, a AS (SELECT * FROM b WHERE request_id % 10 NOT IN (3, 5, 6, 7, 8, 9))"
+_BULK_ALL = f"{_BULK}, a AS (SELECT * FROM b)"
 _JSON_TEXT = "'\"' || replace(message, '\\', '\\\\') || '\"'"
 
 _PUBLIC = ", ".join(f'"{c}"' for c in vocab.PUBLIC_COLUMNS)
@@ -322,6 +318,11 @@ ORACLES = {
         "UNION ALL SELECT k, 4, 16, '0a000000', '0a00ffff' FROM n"
     ),
     "allowed_sources": f"{_SENDERS} SELECT msg_id, client_ip FROM q WHERE ok",
+    "allowed_by_table": (
+        f"{_SENDERS} SELECT msg_id, client_ip FROM q JOIN k ON k.e = msg_id WHERE CASE e % 4 WHEN 0 THEN e % 41 <> 0 AND "
+        "(e % 200, u % 250) IN (SELECT (c_custkey % 200, c_custkey % 250) FROM customer) "
+        "WHEN 2 THEN e % 3 < 2 ELSE false END"
+    ),
     "rejected_sources": f"{_SENDERS} SELECT msg_id, client_ip FROM q WHERE NOT ok",
     "effective_client_ip": (
         f"WITH {_KEYED} SELECT e AS msg_id, CASE e % 3 WHEN 1 THEN '192.0.2.7' WHEN 2 THEN 'no-address' "
@@ -333,10 +334,10 @@ ORACLES = {
     "sender_cap": (
         f"{_TRAFFIC}, f AS (SELECT client_ip, win, row_number() OVER (PARTITION BY win "
         "ORDER BY us, msg_id) AS r FROM capped WHERE n = 1) SELECT msg_id, client_ip FROM capped "
-        "SEMI JOIN (SELECT * FROM f WHERE r <= 3) USING (client_ip, win)"
+        "WHERE (client_ip, win) IN (SELECT (client_ip, win) FROM f WHERE r <= 3)"
     ),
     "rate_limit_anchored": (
-        f"{_TRAFFIC}, a(client_ip, anchor) AS (SELECT client_ip, min(us) FROM m GROUP BY client_ip "
+        f"{_TRAFFIC.replace('WITH', 'WITH RECURSIVE', 1)}, a(client_ip, anchor) AS (SELECT client_ip, min(us) FROM m GROUP BY client_ip "
         "UNION ALL SELECT a.client_ip, min(m.us) FROM a JOIN m ON m.client_ip = a.client_ip "
         "AND m.us >= a.anchor + 1000000 GROUP BY a.client_ip) "
         "SELECT msg_id, client_ip FROM (SELECT m.msg_id, m.client_ip, row_number() OVER "
@@ -345,9 +346,9 @@ ORACLES = {
     ),
     "bulk_status": (
         f"WITH {_KEYED}, r AS (SELECT (e - e % 40) // 40 AS request_id, count(*) AS n FROM k GROUP BY 1) "
-        "SELECT request_id, CAST(CASE WHEN request_id % 10 IN (3, 5, 7, 8, 9) THEN 400 "
-        "WHEN request_id % 10 = 6 THEN 500 ELSE 200 END AS BIGINT) AS status, "
-        "CAST(CASE WHEN request_id % 10 IN (3, 5, 6, 7, 8, 9) THEN 0 ELSE n END AS BIGINT) AS n FROM r"
+        "SELECT request_id, CAST(200 AS BIGINT) AS status, CAST(n AS BIGINT) AS n FROM r "
+        "UNION ALL SELECT -request_id - 1, CAST(CASE WHEN request_id % 10 = 6 THEN 500 ELSE 400 END AS BIGINT), "
+        "CAST(0 AS BIGINT) FROM r WHERE request_id % 10 IN (3, 5, 6, 7, 8, 9)"
     ),
     "bulk_translate": (
         f"{_BULK_ALL} SELECT request_id, \"index\", message, "
@@ -365,7 +366,7 @@ ORACLES = {
         "|| ']}' AS document FROM a GROUP BY request_id"
     ),
     "request_status": (
-        _records(_ONCE) + " SELECT k.e AS msg_id, CAST(CASE WHEN k.e % 8 IN (1, 2, 3) THEN 400 "
+        _P + " SELECT k.e AS msg_id, CAST(CASE WHEN k.e % 8 IN (1, 2, 3) THEN 400 "
         "WHEN k.e % 400 = 5 THEN 413 WHEN k.e % 8 IN (0, 4) AND k.e % 43 <> 0 THEN 200 ELSE 422 END "
         f"AS BIGINT) AS status, CASE WHEN k.e % 8 IN (0, 4) THEN x.message END AS message FROM k "
         f"LEFT JOIN (SELECT msg_id, {_EXTENDED} AS message FROM p) x ON x.msg_id = k.e"
@@ -373,9 +374,9 @@ ORACLES = {
     "public_fields": (
         f"{_P} SELECT msg_id, '{{' || concat_ws(',', "
         + ", ".join(
-            f"'\"{c}\":\"' || \"{c}\" || '\"'" for c in vocab.PUBLIC_COLUMNS
+            f"'\"{c}\":\"' || replace(\"{c}\", '\\', '\\\\') || '\"'" for c in vocab.PUBLIC_COLUMNS
         )
-        + ") || '}' AS fields FROM p WHERE e % 4 <> 0"
+        + ") || '}' AS fields FROM p"
     ),
     "destination_list": (
         "SELECT s_suppkey, CAST(0 AS BIGINT) AS position, CASE WHEN s_suppkey % 5 = 0 THEN '127.0.0.1' "

@@ -197,6 +197,14 @@ def allowed_sources(spark, sf_dir):
     return addresses.allowed(fx.senders(spark, sf_dir), "client_ip", _network_table(spark, ALLOWED))
 
 
+def allowed_by_table(spark, sf_dir):
+    """A list of two networks per customer, of both families."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("10."), k % 200, F.lit("."), k % 250, F.lit(".0/24,2001:db"), k % 2 + 7, F.lit("::/48"))
+    nets = lists.networks(fx.table(spark, sf_dir, "customer").select(text.alias("list")), "list")
+    return addresses.allowed(fx.senders(spark, sf_dir), "client_ip", nets)
+
+
 def rejected_sources(spark, sf_dir):
     return addresses.rejected(fx.senders(spark, sf_dir), "client_ip", _network_table(spark, ALLOWED))
 
@@ -252,7 +260,7 @@ def request_status(spark, sf_dir):
 
 
 def public_fields(spark, sf_dir):
-    return _parsed(spark, sf_dir).filter("msg_id % 4 <> 0").select(
+    return _parsed(spark, sf_dir).select(
         "msg_id", results.public_fields().alias("fields")
     )
 
@@ -299,12 +307,11 @@ def collector_stats(spark, sf_dir):
 def stats_snapshot(spark, sf_dir):
     done = translate(fx.session_lines(spark, sf_dir), "core")
     both = done.agg(*stats.parser_counters(), *stats.formatter_counters())
-    return stats.snapshot({
-        "parser": [both.select("total", "parsed", "failed")],
-        "formatter": [both.select("formatted", "skipped")],
+    lines = stats.long_rows(both, {"parser": ["total", "parsed", "failed"], "formatter": ["formatted", "skipped"]})
+    return lines.unionByName(stats.snapshot({
         "receiver": [receiver_stats(spark, sf_dir)],
         "forwarder": [logical_delivery(spark, sf_dir)],
-    })
+    }))
 
 
 def count_by_source(spark, sf_dir):
@@ -345,7 +352,7 @@ QUERIES = {
         format_extended, translate_cef, syslog_envelope_kv, syslog_envelope_cef,
         syslog_priority, sanitize_values, parse_system_logs, system_actions, csv_translate,
         dead_letters_csv, dead_letters_log, parser_stats, formatter_stats, receiver_stats,
-        batch_summary, valid_addresses, network_list, allowed_sources, rejected_sources,
+        batch_summary, valid_addresses, network_list, allowed_sources, allowed_by_table, rejected_sources,
         effective_client_ip, line_size_gate, rate_cap_tumbling, sender_cap,
         rate_limit_anchored, bulk_status, bulk_translate, bulk_summary, bulk_results,
         request_status, public_fields, destination_list, fan_out, collector_delivery,

@@ -29,6 +29,15 @@ def _in_order(chunks) -> pd.DataFrame:
     return rows.sort_values(["recv_ts", "msg_id"], kind="stable")
 
 
+def _first_rows(chunks, n: int) -> pd.DataFrame:
+    """The first n rows of a key; only so many are held beside the chunk at hand."""
+    kept = None
+    for chunk in chunks:
+        rows = chunk if kept is None else pd.concat([kept, chunk], ignore_index=True)
+        kept = rows.sort_values(["recv_ts", "msg_id"], kind="stable").head(n)
+    return kept
+
+
 def admit_tumbling_stream(
     df: DataFrame,
     per_source: int = vocab.SOURCE_CAP,
@@ -46,7 +55,7 @@ def admit_tumbling_stream(
             state.remove()
             return
         used = state.get[0] if state.exists else 0
-        rows = _in_order(chunks).head(max(per_source - used, 0))
+        rows = _first_rows(chunks, max(per_source - used, 0))
         state.update((int(used + len(rows)),))
         _expire_at(state, (start_micros + (key[1] + 1) * seconds * 1_000_000) // 1000)
         yield rows[names]

@@ -61,12 +61,16 @@ def test_addresses_agree_with_ipaddress(spark):
             assert int(digits, 16) == int(want), t
 
 
-def test_long_network_list_matches_short(spark, monkeypatch):
-    rows = spark.range(1).select(F.lit("10.0.0.0/9,172.16.8.1/20,192.168.1.7,2001:db8::/32,junk").alias("l"))
-    nets, data = lists.networks(rows, "l"), fx.senders(spark, SMALL)
-    short = sorted(tuple(r) for r in addresses.allowed(data, "client_ip", nets).collect())
-    monkeypatch.setattr(addresses, "LITERAL_NETWORKS", 0)
-    assert sorted(tuple(r) for r in addresses.allowed(data, "client_ip", nets).collect()) == short
+def test_network_list_against_ipaddress(spark):
+    listed = ["10.0.0.0/9", "172.16.0.0/20", "192.168.1.7/32", "2001:db8::/32"]
+    rows = spark.range(1).select(F.lit(",".join([*listed, "junk"])).alias("l"))
+    data = fx.senders(spark, SMALL)
+    kept = {tuple(r) for r in addresses.allowed(data, "client_ip", lists.networks(rows, "l")).collect()}
+    nets = [ipaddress.ip_network(n) for n in listed]
+    for row in data.collect():
+        address = _python_valid(row["client_ip"])
+        inside = address is not None and any(address in n for n in nets if n.version == address.version)
+        assert (tuple(row) in kept) == inside, row
 
 
 def test_no_valid_network_allows_all(spark):
@@ -95,3 +99,23 @@ def test_anchored_limit_against_brute_force(spark):
     )
     got = {r["msg_id"] for r in admission.admit_anchored(df, limit=4).collect()}
     assert got == want
+
+
+def test_long_sessions_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from fwlog.operators.delivery import deliver_to_sessions, session_intervals
+
+    sessions = spark.createDataFrame(
+        [("year", "2023-01-01 00:00:30", "2024-01-01 00:00:00"), ("open", "2023-12-31 23:59:59", None),
+         ("short", "2023-06-01 10:00:01", "2023-06-01 10:00:02"), ("none", "2023-06-01 10:00:01", "2023-06-01 10:00:01")],
+        "collector_id string, a string, b string",
+    ).select("collector_id", F.col("a").cast("timestamp").alias("connected_at"), F.col("b").cast("timestamp").alias("disconnected_at"))
+    messages = spark.range(0, 4000).select(
+        F.col("id").alias("msg_id"), F.timestamp_seconds(F.lit(1672531200) + F.col("id") * 9001).alias("recv_ts"))
+    until = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    assert session_intervals(sessions, until).groupBy("collector_id").count().agg(F.max("count")).first()[0] < 100
+    got = deliver_to_sessions(messages, sessions, until=until).select("msg_id", "collector_id").collect()
+    want = messages.join(sessions, (F.col("connected_at") <= F.col("recv_ts")) & (
+        F.col("recv_ts") < F.coalesce("disconnected_at", until))).select("msg_id", "collector_id").collect()
+    assert sorted(got) == sorted(want) and len(want) > 3000
