@@ -138,7 +138,7 @@ class Models:
     logp: list[np.ndarray] = field(default_factory=list)
     contexts: list[np.ndarray] = field(default_factory=list)  # index: context length - 1
     backoff: list[np.ndarray] = field(default_factory=list)
-    unseen: float = 0.0
+    unseen: np.ndarray | None = None  # log probability of a letter that no text had, per language
     limits: np.ndarray | None = None  # highest accepted cross-entropy by log2 of the length
 
     def logs(self, packed: np.ndarray) -> np.ndarray:
@@ -218,7 +218,7 @@ def kneser_ney(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]
             prob = (k, p)
             own[order] = (k, p, ctx, gamma)
         tables.append(own)
-    models = Models(langs, table, unseen=float(np.log(1 / (letters + 1))))
+    models = Models(langs, table)
     floor = []
     for order in range(1, ORDER + 1):
         union = np.unique(np.concatenate([t[order][0] for t in tables]))
@@ -240,7 +240,7 @@ def kneser_ney(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]
         by = np.argsort(h)
         models.hashes.append(h[by])
         models.logp.append(logp[by])
-    models.unseen = float(np.log(1 / (letters + 1)))
+    models.unseen = np.array([np.log(t[1][3][0] / (letters + 1)) for t in tables], np.float32)
     for size in range(1, ORDER):
         union = np.unique(np.concatenate([t[size + 1][2] for t in tables]))
         weight = np.zeros((len(union), len(langs)), np.float32)

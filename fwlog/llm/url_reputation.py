@@ -12,7 +12,7 @@ host's verdict, so a host with a third of all pages is spread.
 Edge cases: a null url or one without `://` has empty host and path and is judged by the
 whole table's rate; outcomes that are null do not count; a host without outcomes gets its
 domain's rate; repeated rows count and return as often as they occur; only the key, url
-and outcome columns are read; without outcomes every rate is 1/2 and pages are allowed;
+and outcome columns are read; without outcomes every rate is 0 and pages are allowed;
 an empty table gives no rows.
 """
 
@@ -90,7 +90,7 @@ def reputation(hosts: DataFrame) -> DataFrame:
     def shrunk(level, prior):
         return ((F.col(f"{level}.bad") + F.col("k") * prior) / (F.col(f"{level}.n") + F.col("k"))).alias("p")
 
-    everything = total.select(((F.col("bad") + 1) / (F.col("n") + 2)).alias("p0"))
+    everything = total.select(F.when(F.col("n") > 0, F.col("bad") / F.col("n")).otherwise(0.0).alias("p0"))
     of_suffix = suffixes.alias("s").join(F.broadcast(_strength(suffixes))).join(F.broadcast(everything)).select(
         F.col("s.suffix"), shrunk("s", F.col("p0")))
     of_domain = domains.alias("d").join(of_suffix.alias("s"), "suffix").join(F.broadcast(_strength(domains))).select(
@@ -168,7 +168,7 @@ rho as (
   select level, i, t, b, q, case when i > 1 and b > 0 and b < t and t > q / t + i - 1 then
     ((s - b * (b / t)) / ((b / t) * (1 - b / t)) - (i - 1)) / (t - q / t - (i - 1)) end as rho from m),
 k as (select level, case when rho > 0 then greatest(1.0, least(1000.0, 1 / rho - 1)) else 1000.0 end as k from rho),
-total as (select (coalesce(sum(bad), 0) + 1)::double / (coalesce(sum(n), 0) + 2) as p0 from hosts),
+total as (select coalesce(sum(bad)::double / nullif(sum(n), 0), 0) as p0 from hosts),
 ps as (select suffix, (bad + k * p0) / (n + k) as p from suffixes, total, k where level = 's'),
 pd as (select d.suffix, domain, (bad + k * ps.p) / (n + k) as p from domains d join ps using (suffix), k where level = 'd'),
 ab as (select host, bad + k * p as a, n - bad + k * (1 - p) as b from hosts join pd using (suffix, domain), k where level = 'h'),
