@@ -64,7 +64,10 @@ def admit_tumbling(
         .filter(F.col("__r") <= max_sources)
         .select(source, "__window")
     )
-    return capped.join(tracked, [source, "__window"], "left_semi").select(*df.columns)
+    # a missing sender counts as one sender; rows without a time have no window
+    tracked = tracked.select(F.col(source).alias("__source"), F.col("__window").alias("__of"))
+    same = F.col(source).eqNullSafe(F.col("__source")) & (F.col("__window") == F.col("__of"))
+    return capped.join(tracked, same, "left_semi").select(*df.columns)
 
 
 def _next_position(times: np.ndarray, width: int) -> np.ndarray:

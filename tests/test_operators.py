@@ -119,3 +119,10 @@ def test_long_sessions_against_brute_force(spark):
     want = messages.join(sessions, (F.col("connected_at") <= F.col("recv_ts")) & (
         F.col("recv_ts") < F.coalesce("disconnected_at", until))).select("msg_id", "collector_id").collect()
     assert sorted(got) == sorted(want) and len(want) > 3000
+
+
+def test_missing_sender_is_one_sender(spark):
+    df = spark.createDataFrame([(i, i, None if i % 2 else "a") for i in range(20)], "msg_id long, t long, client_ip string").select(
+        "msg_id", F.timestamp_micros("t").alias("recv_ts"), "client_ip")
+    got = {r["msg_id"] for r in admission.admit_tumbling(df, per_source=3).collect()}
+    assert got == {0, 1, 2, 3, 4, 5}
