@@ -144,7 +144,7 @@ def window_anchors(df: DataFrame, source: str, ts: str, seconds: int) -> DataFra
     """
     width = seconds * 1_000_000
     times = (
-        df.filter(F.col(source).isNotNull() & F.col(ts).isNotNull())
+        df.filter(F.col(ts).isNotNull())
         .select(F.col(source).alias("source"), F.unix_micros(ts).alias("t"))
         .distinct()
         .select("*", slot(F.col("t"), width * BLOCK_WINDOWS).alias("block"))
@@ -170,27 +170,29 @@ def admit_anchored(
     ts: str = "recv_ts",
     tie: str = "msg_id",
 ) -> DataFrame:
-    """First ``limit`` rows of a source in each window anchored at its first row."""
+    """First ``limit`` rows of a source in each window anchored at its first row.
+
+    A missing sender counts as one sender; rows without a time have no window.
+    """
     width = seconds * 1_000_000
-    anchors = window_anchors(df, source, ts, seconds).select(
-        F.col("source").alias(source), "anchor",
-        slot(F.col("anchor"), width).alias("__slot"),
-    )
+    anchors = window_anchors(df, source, ts, seconds)
+    own_slot = slot(F.col("anchor"), width)
     # Anchors are a width apart, so a slot of that width holds at most one, and a
     # row belongs to the anchor of its own slot or of the slot before.
     covering = (
-        anchors.select(source, "__slot", F.col("anchor").alias("own"), F.lit(None).cast("bigint").alias("prior"))
-        .unionByName(
-            anchors.select(
-                source, (F.col("__slot") + 1).alias("__slot"),
-                F.lit(None).cast("bigint").alias("own"), F.col("anchor").alias("prior"),
-            )
+        anchors.select(
+            F.col("source").alias("__source"), "anchor", own_slot.alias("__own"),
+            F.explode(F.array(own_slot, own_slot + 1)).alias("__of"),
+        )
+        .groupBy("__source", "__of").agg(
+            F.max(F.when(F.col("__of") == F.col("__own"), F.col("anchor"))).alias("own"),
+            F.max(F.when(F.col("__of") > F.col("__own"), F.col("anchor"))).alias("prior"),
         )
-        .groupBy(source, "__slot").agg(F.max("own").alias("own"), F.max("prior").alias("prior"))
     )
+    same = F.col(source).eqNullSafe(F.col("__source")) & (F.col("__slot") == F.col("__of"))
     rows = df.select(
         "*", F.unix_micros(ts).alias("__t"), window_number(F.col(ts), seconds).alias("__slot")
-    ).join(covering, [source, "__slot"])
+    ).join(covering, same)
     rows = rows.select(
         *df.columns,
         F.when(F.col("own") <= F.col("__t"), F.col("own")).otherwise(F.col("prior")).alias("__anchor"),

@@ -55,20 +55,22 @@ def split_csv(df: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def data_lines(df: DataFrame, value: str = "value") -> DataFrame:
-    """Without the header row and empty lines, which no counter sees (F2)."""
-    return df.filter((F.col(value) != "") & ~F.startswith(value, F.lit("Timestamp")))
+def is_data(value: str) -> Column:
+    """Neither the header row nor an empty line, which no counter sees (F2)."""
+    return (F.col(value) != "") & ~F.startswith(value, F.lit("Timestamp"))
 
 
-def parse_csv(df: DataFrame, value: str = "value") -> DataFrame:
+def parse_csv(df: DataFrame, value: str = "value", every_line: bool = False) -> DataFrame:
     """Record columns of CSV lines; lines with under three fields are parsed whole.
 
+    The header row and empty lines are left out, or with ``every_line`` kept as empty lines.
     ``raw`` is the text that went through the parser and ``csv_reason`` the second
     dead-letter reason of a failed line.
     """
     given = df.columns
-    df = split_csv(data_lines(df, value), value)
-    df = df.select("*", F.coalesce("csv_raw", value).alias("raw"))
+    df = split_csv(df if every_line else df.filter(is_data(value)), value)
+    raw = F.coalesce("csv_raw", value)
+    df = df.select("*", (F.when(is_data(value), raw) if every_line else raw).alias("raw"))
     df = parse(df, "raw")
     has_three = F.col("csv_ts").isNotNull()
     host = F.coalesce(F.col("hostname"), none_if_empty(F.col("csv_host")))

@@ -158,12 +158,7 @@ def receiver_stats(spark, sf_dir):
 
 
 def batch_summary(spark, sf_dir):
-    lines = fx.csv_lines(spark, sf_dir)
-    done = translate_csv(not_blank(lines), "core").select("message")
-    others = lines.filter(
-        (F.col("value") == "") | F.startswith("value", F.lit("Timestamp"))
-    ).select(F.lit(None).cast("string").alias("message"))
-    return stats.batch_summary(done.unionByName(others))
+    return stats.batch_summary(translate_csv(fx.csv_lines(spark, sf_dir), "core", every_line=True))
 
 
 def valid_addresses(spark, sf_dir):

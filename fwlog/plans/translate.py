@@ -18,8 +18,9 @@ def translate(df: DataFrame, mode: str = "cef", value: str = "value") -> DataFra
     return observed(add_message(parse(df, value), mode), "formatter", formatter_counters())
 
 
-def translate_csv(df: DataFrame, mode: str = "cef") -> DataFrame:
-    return observed(add_message(parse_csv(df), mode), "formatter", formatter_counters())
+def translate_csv(df: DataFrame, mode: str = "cef", every_line: bool = False) -> DataFrame:
+    parsed = parse_csv(df, every_line=every_line)
+    return observed(add_message(parsed, mode), "formatter", formatter_counters())
 
 
 def format_records(records: DataFrame, mode: str = "cef") -> DataFrame:

@@ -124,5 +124,5 @@ def test_long_sessions_against_brute_force(spark):
 def test_missing_sender_is_one_sender(spark):
     df = spark.createDataFrame([(i, i, None if i % 2 else "a") for i in range(20)], "msg_id long, t long, client_ip string").select(
         "msg_id", F.timestamp_micros("t").alias("recv_ts"), "client_ip")
-    got = {r["msg_id"] for r in admission.admit_tumbling(df, per_source=3).collect()}
-    assert got == {0, 1, 2, 3, 4, 5}
+    for admit in (lambda: admission.admit_tumbling(df, per_source=3), lambda: admission.admit_anchored(df, limit=3)):
+        assert {r["msg_id"] for r in admit().collect()} == {0, 1, 2, 3, 4, 5}
