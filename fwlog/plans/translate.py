@@ -35,9 +35,10 @@ def translate_live(
     severity: str = "info",
     include_timestamp: bool = True,
     passphrase: str | None = None,
+    value: str = "value",
 ) -> DataFrame:
     """The message path: parse, format, envelope, encrypt. Adds ``syslog`` (T4)."""
-    done = add_envelope(translate(df, mode), mode, facility, severity, include_timestamp)
+    done = add_envelope(translate(df, mode, value), mode, facility, severity, include_timestamp)
     if passphrase is None:
         return done
     return done.withColumn("syslog", encrypt(F.col("syslog"), passphrase))

@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 from fwlog.operators import admission
 from fwlog.plans import fixtures as fx
 from fwlog.plans.translate import translate_live
+from fwlog.sources import lists
 from fwlog.sources.files import not_blank, read_stream
 from fwlog.streaming.admission import admit_anchored_stream, admit_tumbling_stream
+from fwlog.operators.delivery import delivery_counts, logical_delivery
+from fwlog.streaming import live
 from fwlog.streaming.live import start_delivery, translate_stream
 
 SMALL = "/root/testdata/sf0.001"
@@ -48,8 +51,94 @@ def test_delivery_agrees_with_batch(spark):
     start_delivery(done, f"{folder}/out", "a, b", f"{folder}/cp", f"{folder}/dead").awaitTermination(120)
     batch = translate_live(not_blank(spark.read.parquet(f"{folder}/in")), "core")
     want = sorted(r["syslog"] for r in batch.filter(F.col("syslog").isNotNull()).collect())
-    out = spark.read.text(f"{folder}/out")
+    out = spark.read.text(f"{folder}/out/delivered")
     for destination in ("a", "b"):
         rows = out.filter(F.col("destination") == destination).collect()
         assert sorted(r["value"] for r in rows) == want
     assert spark.read.text(f"{folder}/dead").count() == batch.filter("reason IS NOT NULL").count()
+
+
+def _caps(rows, per_source, max_sources, seconds):
+    """The two caps counted row by row in arrival order."""
+    used, tracked, reasons = {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r["recv_ts"], r["msg_id"])):
+        window = int(r["recv_ts"].timestamp() // seconds)
+        known = tracked.setdefault(window, set())
+        if r["client_ip"] not in known and len(known) >= max_sources:
+            reasons[r["msg_id"]] = "sender_cap"
+            continue
+        known.add(r["client_ip"])
+        n = used[window, r["client_ip"]] = used.get((window, r["client_ip"]), 0) + 1
+        reasons[r["msg_id"]] = None if n <= per_source else "source_cap"
+    return reasons
+
+
+def test_cap_reasons_against_brute_force(spark):
+    raw = fx.traffic(spark, SMALL)
+    raw = raw.withColumn("client_ip", F.when(F.col("msg_id") % 11 != 0, F.col("client_ip"))).cache()
+    rows, counts = admission.cap_reasons(raw, None, 40, 3, 1)
+    want = _caps(raw.collect(), 40, 3, 1)
+    assert {r["msg_id"]: r["refused"] for r in rows.collect()} == want
+    assert set(want.values()) == {None, "source_cap", "sender_cap"}
+    assert counts.agg(F.sum("used")).first()[0] == sum(v is None for v in want.values())
+
+
+def test_intake_agrees_with_batch_over_several_batches(spark):
+    """Windows cross the batches, one destination fails, one row comes too late."""
+    folder = tempfile.mkdtemp(prefix="run-")
+    lines = fx.session_lines(spark, SMALL).withColumnRenamed("value", "line")
+    raw = fx.traffic(spark, SMALL).join(lines, "msg_id").select(
+        "msg_id", "recv_ts", "client_ip",
+        F.when(F.col("msg_id") % 19 == 0, " ").when(F.col("msg_id") % 23 == 0, F.repeat(F.lit("x"), 9000))
+        .otherwise(F.col("line")).alias("value"),
+    ).cache()
+    third = F.when(F.col("msg_id") < 1700, 0).when(F.col("msg_id") < 3900, 1).otherwise(2)
+    nets = spark.range(1).select(F.lit("10.10.0.1,10.10.0.4").alias("list"))
+    nets = lists.networks(nets, "list")
+    late = spark.range(1).select(
+        F.lit(-1).cast("bigint").alias("msg_id"), F.timestamp_seconds(F.lit(0)).alias("recv_ts"),
+        F.lit("10.10.0.1").alias("client_ip"), F.lit("m").alias("value"))
+
+    def send(messages, destination, to):
+        if destination == "b":
+            raise OSError("refused")
+        live.write_destination(messages, destination, to)
+
+    for k in range(3):
+        part = raw.filter(third == k)
+        part = part.unionByName(late) if k == 2 else part
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        live.start_intake(
+            read_stream(spark, f"{folder}/in"), f"{folder}/out", "a, b", f"{folder}/cp", nets, "core",
+            f"{folder}/dead", send, per_source=40, max_sources=3, seconds=1,
+        ).awaitTermination(120)
+
+    staged = {r["msg_id"]: r for r in spark.read.parquet(f"{folder}/out/staged").collect()}
+    rows, caps = raw.collect(), _caps(raw.collect(), 40, 3, 1)
+    translated = {r["msg_id"]: r for r in translate_live(raw, "core").collect()}
+    assert len(staged) == len(rows) + 1
+    assert (staged.pop(-1)["reason"]) == "late"
+    for r in rows:
+        got = staged[r["msg_id"]]
+        want = caps[r["msg_id"]]
+        if want is None and r["client_ip"] not in ("10.10.0.1", "10.10.0.4"):
+            want = "not_allowed"
+        if want is None and not r["value"].strip():
+            want = "blank"
+        if want is None and len(r["value"]) > 8192:
+            want = "line_too_long"
+        if want is not None:
+            assert (got["kind"], got["reason"]) == ("refused", want)
+        elif translated[r["msg_id"]]["reason"]:
+            assert (got["kind"], got["reason"]) == ("dead", translated[r["msg_id"]]["reason"])
+        else:
+            assert (got["kind"], got["text"]) == ("message", translated[r["msg_id"]]["syslog"])
+    sent = sorted(r["text"] for r in staged.values() if r["kind"] == "message")
+    assert sorted(r["value"] for r in spark.read.text(f"{folder}/out/delivered").collect()) == sent
+    outcomes = live.delivery_outcomes(spark, f"{folder}/out")
+    assert {tuple(r) for r in delivery_counts(outcomes).collect()} == {("a", len(sent), 0), ("b", 0, len(sent))}
+    assert tuple(logical_delivery(outcomes).first()) == (len(sent), 0)
+    counters = {r["metric"]: r["value"] for r in live.live_counters(spark, f"{folder}/out").collect()}
+    assert counters["formatted"] == len(sent) and counters["late"] == 1
+    assert counters["source_cap"] == sum(v == "source_cap" for v in caps.values())
+    assert spark.read.text(f"{folder}/dead").count() == counters["failed"]
