@@ -2,14 +2,16 @@
 
 Texts become lower-cased letters with single blanks between words. Every training text
 adds its character 4-grams to its language's counts; the lower orders count distinct left
-neighbours, as Kneser-Ney smoothing asks. The models are stored as sorted arrays of hashed
-n-grams, one row per n-gram with a log probability per language. The language with the
-lowest cross-entropy per character wins; a text is rejected if even that is far above what
-training texts of about its length have.
+neighbours, as Kneser-Ney smoothing asks. The models are a table: per n-gram the languages
+that have it, each with its log probability and its log back-off weight as a context. The
+language with the lowest cross-entropy per character wins; a text is rejected if even that
+is far above what training texts of about its length have.
 
-All training texts are counted. The models keep at most MAX_GRAMS n-grams, shared evenly
-by the languages (the most frequent; equal counts stay or go together), so what is sent to
-the tasks is bounded. The rejection limits come from at most about CALIBRATION_DOCS texts.
+All training texts are counted, and the models keep every n-gram: discounts, context totals
+and probabilities of all orders are joins and sums over the whole counts. No task holds the
+models. Texts are dealt to blocks of about BLOCK_BYTES by a hash of their row; a block's
+distinct n-grams are joined to the table, and the block is scored with the rows found.
+The rejection limits come from at most about CALIBRATION_DOCS texts.
 
 Edge cases: null texts and texts without a letter get `und`, score 0 and are rejected;
 rows with a null lang are never learned from; without any training text all are `und`;
@@ -19,11 +21,12 @@ occur; existing columns named like the outputs are replaced; an empty table give
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +35,9 @@ from fwlog.llm._batches import out_schema, pieces, with_columns
 from fwlog.llm._graph import saved
 
 ORDER = 4
-MAX_GRAMS, CALIBRATION_DOCS = 1_200_000, 20_000
+CALIBRATION_DOCS = 20_000
+#: Bytes of text that are scored together.
+BLOCK_BYTES = 24 << 20
 #: n-grams a task holds before it passes its counts on.
 HELD_GRAMS = 500_000
 #: A text is rejected above mean + REJECT_SD standard deviations + REJECT_MARGIN nats per character.
@@ -40,7 +45,7 @@ REJECT_SD, REJECT_MARGIN = 8.0, 0.25
 #: Characters of evidence a confidence is worth at most.
 EVIDENCE = 100
 UND = "und"
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK = "language_block"
 
 
 def letter_table() -> np.ndarray:
@@ -128,154 +133,154 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Seen:
+    """What the models know of some n-grams: by length the sorted n-grams, and per language log probability (NaN if the
+    language has it not) and log back-off weight (0 if it never saw the context)."""
+
+    keys: list[np.ndarray]  # index: length - 1
+    logp: list[np.ndarray]
+    backoff: list[np.ndarray]
+    unseen: np.ndarray  # log probability of a letter that no text had, per language
+
+    @classmethod
+    def of(cls, found: pa.Table, unseen: np.ndarray) -> Seen:
+        """From joined rows size, key, lang, logp, backoff, one for each n-gram asked for."""
+        out = cls([], [], [], unseen)
+        found = found.combine_chunks()
+        sizes = found["size"].to_numpy()
+        for size in range(1, ORDER + 1):
+            rows = found.filter(pa.array(sizes == size))
+            key = rows["key"].to_numpy().view(np.uint64)
+            by = np.argsort(key)
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            lists = [rows[c].combine_chunks() for c in ("lang", "logp", "backoff")]
+            lang, logp, backoff = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            at = np.repeat(place, pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False))
+            p = np.full((len(key), len(unseen)), np.nan, np.float32)
+            weight = np.zeros((len(key), len(unseen)), np.float32)
+            p[at, lang], weight[at, lang] = logp, backoff
+            out.keys.append(key[by])
+            out.logp.append(p)
+            out.backoff.append(weight)
+        return out
+
+    def _rows(self, key: np.ndarray, size: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys[size - 1], key), len(self.keys[size - 1]) - 1)
+        if (self.keys[size - 1][at] != key).any():
+            raise ValueError("a block's texts changed between asking for their n-grams and scoring them")
+        return at
+
+    def logs(self, packed: np.ndarray) -> np.ndarray:
+        """Log probability of the last letter of each 4-gram, per language."""
+        out = np.broadcast_to(self.unseen.astype(np.float32), (len(packed), len(self.unseen)))
+        if not len(packed):
+            return out
+        for size in range(1, ORDER + 1):
+            own = self.logp[size - 1][self._rows(packed & _mask(size), size)]
+            if size > 1:  # not seen in this language: its context's weight and the shorter n-gram
+                out = self.backoff[size - 2][self._rows((packed >> np.uint64(16)) & _mask(size - 1), size - 1)] + out
+            out = np.where(np.isnan(own), out, own)
+        return out
+
+
+def asked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and keys of all n-grams and contexts that scoring distinct 4-grams needs."""
+    sizes, keys = [], []
+    for size in range(1, ORDER + 1):
+        own = packed & _mask(size)
+        if size < ORDER:
+            own = np.r_[own, (packed >> np.uint64(16)) & _mask(size)]
+        keys.append(pd.unique(own))
+        sizes.append(np.full(len(keys[-1]), size, np.int32))
+    return np.concatenate(sizes), np.concatenate(keys).view(np.int64)
+
+
 @dataclass
 class Models:
-    """Log probabilities of all languages in sorted hash arrays, by order, and back-off weights by context."""
+    """The table of all languages' n-grams: size, key, and by language number `lang` the arrays logp and backoff."""
 
     langs: list[str]
     table: np.ndarray
-    hashes: list[np.ndarray] = field(default_factory=list)  # index: order - 1
-    logp: list[np.ndarray] = field(default_factory=list)
-    contexts: list[np.ndarray] = field(default_factory=list)  # index: context length - 1
-    backoff: list[np.ndarray] = field(default_factory=list)
-    unseen: np.ndarray | None = None  # log probability of a letter that no text had, per language
+    rows: DataFrame
+    unseen: np.ndarray  # log probability of a letter that no text had, per language
     limits: np.ndarray | None = None  # highest accepted cross-entropy by log2 of the length
 
     def logs(self, packed: np.ndarray) -> np.ndarray:
         """Log probability of the last letter of each 4-gram, per language."""
-        out = np.empty((len(packed), len(self.langs)), np.float32)
-        at, hit = _find(self.hashes[ORDER - 1], _hash(packed, ORDER))
-        out[hit] = self.logp[ORDER - 1][at[hit]]
-        rest = np.flatnonzero(~hit)
-        out[rest] = 0
-        for order in range(ORDER - 1, -1, -1):
-            if not len(rest):
-                break
-            context = (packed[rest] >> np.uint64(16)) & _mask(order)
-            if order:
-                at, hit = _find(self.contexts[order - 1], _hash(context, order))
-                out[rest[hit]] += self.backoff[order - 1][at[hit]]
-                at, hit = _find(self.hashes[order - 1], _hash(packed[rest] & _mask(order), order))
-                out[rest[hit]] += self.logp[order - 1][at[hit]]
-                rest = rest[~hit]
-            else:
-                out[rest] += self.unseen
-        return out
-
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character of each text and language; number of letters."""
-        padded, inner = normalised(texts, self.table)
-        packed = grams(padded, inner)
-        ends = np.cumsum(inner)
-        letters = np.r_[0, np.cumsum((packed & _mask(1)) != 32)][np.r_[0, ends]]
-        sums = np.add.reduceat(self.logs(packed), np.cumsum(inner) - inner, axis=0, dtype=np.float64)
-        return -sums / inner[:, None], np.diff(letters)
+        size, key = asked(packed)
+        keys = self.rows.sparkSession.createDataFrame(pa.table({"size": size, "key": key}))
+        return Seen.of(keys.join(self.rows, ["size", "key"], "left").toArrow(), self.unseen).logs(packed)
 
 
 def _mask(order: int):
     return np.uint64((1 << 16 * order) - 1)
 
 
-def _hash(packed: np.ndarray, order: int) -> np.ndarray:
-    h = packed * _MIX
-    return h ^ (h >> np.uint64(29)) if order == ORDER else (packed + np.uint64(order)) * _MIX
-
-
-def _find(hashes: np.ndarray, wanted: np.ndarray):
-    if not len(hashes):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-    return at, hashes[at] == wanted
-
-
-def kneser_ney(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> Models:
-    """Models of 4-gram counts: per language the packed 4-grams and how often each occurs."""
-    tables = []  # per language, per order: keys, probability; context keys, back-off weight
-    letters = max(1, len(np.unique(np.concatenate([np.unique(k & _mask(1)) for k, _ in counts.values()]))))
-    for name in langs:
-        keys, n = counts[name]
-        orders = {ORDER: (keys, n)}
-        for order in range(ORDER - 1, 0, -1):  # distinct left neighbours
-            lower, n_left = np.unique(orders[order + 1][0] & _mask(order), return_counts=True)
-            orders[order] = (lower, n_left)
-        prob = None
-        own = {}
-        for order in range(1, ORDER + 1):
-            k, c = orders[order]
-            once, twice = (c == 1).sum(), (c == 2).sum()
-            d = once / (once + 2 * twice) if once else 0.5
-            d = min(max(d, 0.1), 0.9)
-            context = (k >> np.uint64(16)) & _mask(order - 1) if order > 1 else np.zeros(len(k), np.uint64)
-            ctx, inv = np.unique(context, return_inverse=True)
-            total = np.bincount(inv, c)
-            gamma = d * np.bincount(inv) / total
-            if order == 1:
-                lower_p = np.full(len(k), 1 / (letters + 1))
-            else:
-                lk, lp = prob
-                lower_p = lp[np.searchsorted(lk, k & _mask(order - 1))]
-            p = (c - d) / total[inv] + gamma[inv] * lower_p
-            prob = (k, p)
-            own[order] = (k, p, ctx, gamma)
-        tables.append(own)
-    models = Models(langs, table)
-    floor = []
+def _low(column: str, order: int) -> Column:
+    return F.col(column).bitwiseAND(F.lit((1 << 16 * order) - 1))
+
+
+def kneser_ney(counts: DataFrame) -> tuple[list[str], DataFrame, np.ndarray]:
+    """Languages, table (see Models) and unseen letters of a saved table lang, gram, n; joins and sums only."""
+    orders = [counts.select("lang", "gram", F.col("n").cast("long"))]
+    for order in range(ORDER - 1, 0, -1):  # distinct left neighbours
+        orders.append(orders[-1].groupBy("lang", _low("gram", order).alias("gram")).agg(F.count("*").alias("n")))
+    every = None
+    for order, t in zip(range(ORDER, 0, -1), orders):
+        t = t.select(F.lit(order).alias("size"), "*")
+        every = t if every is None else every.unionByName(t)
+    every = saved(every)
+    steps = every.groupBy("size", "lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+    d = F.when(F.col("once") > 0, F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(0.5)
+    steps = steps.select("size", "lang", F.greatest(F.lit(0.1), F.least(F.lit(0.9), d)).alias("d"))
+    langs = sorted(r[0] for r in steps.filter("size = 1").select("lang").collect())
+    if not langs:
+        return [], every, np.zeros(0)
+    letters = every.filter("size = 1").select("gram").distinct().count()
+    every = every.withColumn("context", F.shiftrightunsigned("gram", 16))
+    contexts = every.groupBy("size", "lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    contexts = saved(contexts.join(F.broadcast(steps), ["size", "lang"])
+                     .select("size", "lang", "context", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("gamma")))
+    own = every.join(contexts, ["size", "lang", "context"]).select(
+        "size", "lang", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), "gamma")
+    own = saved(own)
+    lower, rows = None, []
     for order in range(1, ORDER + 1):
-        union = np.unique(np.concatenate([t[order][0] for t in tables]))
-        logp = np.zeros((len(union), len(langs)), np.float32)
-        for j, t in enumerate(tables):
-            k, p, *_ = t[order]
-            at, hit = _find(k, union)
-            if order == 1:
-                gamma = t[1][3][0]
-                lower = np.full(len(union), np.log(gamma / (letters + 1)))
-            else:  # not seen in this language: its context's weight and the shorter n-gram
-                context = (union >> np.uint64(16)) & _mask(order - 1)
-                cat, chit = _find(t[order][2], context)
-                lat = np.searchsorted(floor[-1][0], union & _mask(order - 1))
-                lower = np.where(chit, np.log(t[order][3][cat]), 0) + floor[-1][1][lat, j]
-            logp[:, j] = np.where(hit, np.log(p[at]), lower)
-        floor.append((union, logp))
-        h = _hash(union, order)
-        by = np.argsort(h)
-        models.hashes.append(h[by])
-        models.logp.append(logp[by])
-    models.unseen = np.array([np.log(t[1][3][0] / (letters + 1)) for t in tables], np.float32)
-    for size in range(1, ORDER):
-        union = np.unique(np.concatenate([t[size + 1][2] for t in tables]))
-        weight = np.zeros((len(union), len(langs)), np.float32)
-        for j, t in enumerate(tables):
-            at, hit = _find(t[size + 1][2], union)
-            weight[hit, j] = np.log(t[size + 1][3][at[hit]])
-        h = _hash(union, size)
-        by = np.argsort(h)
-        models.contexts.append(h[by])
-        models.backoff.append(weight[by])
-    return models
-
-
-def fit(docs: DataFrame, trains: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id",
-        max_grams: int = MAX_GRAMS) -> Models | None:
+        t = own.filter(F.col("size") == order)
+        if order == 1:
+            p = t.select("lang", "gram", (F.col("own") + F.col("gamma") / (letters + 1)).alias("p"))
+        else:
+            below = lower.select("lang", F.col("gram").alias("short"), F.col("p").alias("q"))
+            p = (t.withColumn("short", _low("gram", order - 1)).join(below, ["lang", "short"])
+                 .select("lang", "gram", (F.col("own") + F.col("gamma") * F.col("q")).alias("p")))
+        lower = p
+        rows.append(p.select(F.lit(order).alias("size"), F.col("gram").alias("key"), "lang",
+                             F.log("p").cast("float").alias("logp"), F.lit(None).cast("float").alias("backoff")))
+    rows.append(contexts.filter("size > 1").select(
+        (F.col("size") - 1).alias("size"), F.col("context").alias("key"), "lang",
+        F.lit(None).cast("float").alias("logp"), F.log("gamma").cast("float").alias("backoff")))
+    table = rows[0]
+    for r in rows[1:]:
+        table = table.unionByName(r)
+    number = counts.sparkSession.createDataFrame(list(zip(langs, range(len(langs)))), "lang string, at int")
+    table = table.groupBy("size", "key", "lang").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+    table = table.join(F.broadcast(number), "lang").groupBy("size", "key").agg(F.collect_list(F.struct(
+        "at", F.coalesce("logp", F.lit(float("nan")).cast("float")).alias("logp"),
+        F.coalesce("backoff", F.lit(0).cast("float")).alias("backoff"))).alias("s"))
+    table = saved(table.select("size", "key", F.col("s.at").alias("lang"), F.col("s.logp").alias("logp"), F.col("s.backoff").alias("backoff")))
+    gamma = dict(contexts.filter("size = 1").select("lang", "gamma").collect())
+    return langs, table, np.log(np.array([gamma[name] for name in langs]) / (letters + 1))
+
+
+def fit(docs: DataFrame, trains: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Models | None:
     """Models of the texts for which `trains` holds; None if there are none."""
     train = docs.filter(trains) if trains is not None else docs
-    table = saved(gram_counts(train, text, lang))
-    langs = [r[0] for r in table.select("lang").distinct().orderBy("lang").collect()]
+    langs, rows, unseen = kneser_ney(saved(gram_counts(train, text, lang)))
     if not langs:
         return None
-    # counts are compared by their octave beyond 1000, so this has few rows per language
-    rank = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.floor(F.log2("n") * 100).cast("long") + 10)
-    steps = table.groupBy("lang", rank.alias("rank")).count().toPandas().sort_values(["lang", "rank"], ascending=[True, False])
-    room = max_grams // len(langs)
-    least = {name: int(g["rank"][g["count"].cumsum() <= room].min() if (g["count"].cumsum() <= room).any() else g["rank"].max() + 1)
-             for name, g in steps.groupby("lang")}
-    kept = table.filter(rank >= F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("lang")))
-    pdf = kept.select("lang", "gram", "n").toPandas()
-    counts = {}
-    for name, g in pdf.groupby("lang"):
-        k = g.gram.to_numpy().view(np.uint64)
-        by = np.argsort(k)
-        counts[name] = (k[by], g.n.to_numpy()[by])
-    models = kneser_ney(sorted(counts), counts, letter_table())
+    models = Models(langs, letter_table(), rows, unseen)
     models.limits = _limits(train, models, text, key)
     return models
 
@@ -285,7 +290,7 @@ def _limits(train: DataFrame, models: Models, text: str, key: str) -> np.ndarray
     n = train.count()
     share = min(1.0, CALIBRATION_DOCS / max(1, n))
     sample = train.filter(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    seen = _scored(sample.select(text), models, text).filter("letters > 0").groupBy(
+    seen = _scored(sample.select(key, text), models, text).filter("letters > 0").groupBy(
         F.floor(F.log2("letters")).cast("int").alias("k")).agg(
         F.count("*").alias("n"), F.avg("entropy").alias("m"), F.stddev_pop("entropy").alias("s")).toPandas()
     out = np.full(64, np.inf)
@@ -300,30 +305,76 @@ def _limits(train: DataFrame, models: Models, text: str, key: str) -> np.ndarray
 
 
 def _scored(docs: DataFrame, models: Models | None, text: str) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for part in pieces(batch, text):
-                texts = [t or "" for t in part.column(text).to_pylist()]
-                if models is None:
-                    none = [UND] * len(texts), [0.0] * len(texts), [True] * len(texts), [None] * len(texts), [0] * len(texts)
-                else:
-                    h, letters = models.entropies(texts)
-                    best = h.argmin(axis=1)
-                    low = h[np.arange(len(h)), best]
-                    worth = np.minimum(letters, EVIDENCE)[:, None]
-                    share = 1 / np.exp(-(h - low[:, None]) * worth).sum(axis=1)
-                    ok = letters > 0
-                    reject = ~ok
-                    if models.limits is not None:
-                        reject |= low > models.limits[np.log2(np.maximum(letters, 1)).astype(int)]
-                    lang = np.where(ok, np.array(models.langs, object)[best], UND)
-                    none = lang, np.where(ok, share, 0.0), reject, low, letters
-                yield with_columns(part, lang_pred=pa.array(none[0], pa.string()), score=pa.array(none[1], pa.float64()),
-                                   rejected=pa.array(none[2], pa.bool_()), entropy=pa.array(none[3], pa.float64()),
-                                   letters=pa.array(none[4], pa.int64()))
-
-    return docs.mapInArrow(run, out_schema(docs, lang_pred=T.StringType(), score=T.DoubleType(), rejected=T.BooleanType(),
-                                           entropy=T.DoubleType(), letters=T.LongType()))
+    schema = out_schema(docs, lang_pred=T.StringType(), score=T.DoubleType(), rejected=T.BooleanType(),
+                        entropy=T.DoubleType(), letters=T.LongType())
+    if models is None:
+        return docs.mapInArrow(_unknown, schema)
+    table, langs, unseen, limits = models.table, models.langs, models.unseen, models.limits
+
+    def ask(block: pa.Table) -> pa.Table:
+        held = np.zeros(0, np.uint64)
+        for part in _parts(block, text):
+            held = np.r_[held, pd.unique(grams(*normalised(_texts(part, text), table)))]
+        size, key = asked(pd.unique(held))
+        return pa.table({_BLOCK: np.full(len(size), block[_BLOCK][0].as_py(), np.int64), "size": size, "key": key})
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        seen = Seen.of(found, unseen)
+        every = seen.logs(seen.keys[ORDER - 1])
+        out = []
+        for part in _parts(block, text):
+            padded, inner = normalised(_texts(part, text), table)
+            packed = grams(padded, inner)
+            at, own = pd.factorize(packed)
+            logs = every[seen._rows(own, ORDER)]
+            ends = np.cumsum(inner)
+            letters = np.diff(np.r_[0, np.cumsum((packed & _mask(1)) != 32)][np.r_[0, ends]])
+            h = np.stack([-np.add.reduceat(logs[at, j], ends - inner, dtype=np.float64) / inner for j in range(len(langs))], axis=1)
+            best = h.argmin(axis=1)
+            low = h[np.arange(len(h)), best]
+            worth = np.minimum(letters, EVIDENCE)[:, None]
+            share = 1 / np.exp(-(h - low[:, None]) * worth).sum(axis=1)
+            ok = letters > 0
+            reject = ~ok
+            if limits is not None:
+                reject |= low > limits[np.log2(np.maximum(letters, 1)).astype(int)]
+            out.append(_answers(part, np.where(ok, np.array(langs, object)[best], UND), np.where(ok, share, 0.0), reject, low, letters))
+        return pa.Table.from_batches(out).drop_columns([_BLOCK])
+
+    blocks = _dealt(docs, text)
+    keys = blocks.groupBy(_BLOCK).applyInArrow(ask, f"{_BLOCK} long, size int, key long")
+    found = keys.join(models.rows, ["size", "key"], "left").select(_BLOCK, "size", "key", "lang", "logp", "backoff")
+    return blocks.groupBy(_BLOCK).cogroup(found.groupBy(_BLOCK)).applyInArrow(run, schema)
+
+
+def _dealt(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the number of a block of texts, which depends on the row alone."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(1, -(-size // BLOCK_BYTES))
+    rest = [c for c in docs.columns if c != text]
+    row = F.xxhash64(F.col(text), *([F.to_json(F.struct(*rest))] if rest else []))
+    return docs.withColumn(_BLOCK, F.pmod(row, F.lit(n)))
+
+
+def _parts(block: pa.Table, text: str):
+    for batch in block.to_batches():
+        yield from pieces(batch, text)
+
+
+def _texts(part: pa.RecordBatch, text: str) -> list[str]:
+    return [t or "" for t in part.column(text).to_pylist()]
+
+
+def _answers(part: pa.RecordBatch, lang, score, rejected, entropy, letters) -> pa.RecordBatch:
+    return with_columns(part, lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()),
+                        rejected=pa.array(rejected, pa.bool_()), entropy=pa.array(entropy, pa.float64()),
+                        letters=pa.array(letters, pa.int64()))
+
+
+def _unknown(batches):
+    for batch in batches:
+        n = batch.num_rows
+        yield _answers(batch, [UND] * n, [0.0] * n, [True] * n, [None] * n, [0] * n)
 
 
 def identify(docs: DataFrame, models: Models | None, text: str = "text") -> DataFrame:

@@ -79,6 +79,48 @@ def test_language_edges(odd_documents, no_documents):
     assert {r["lang_pred"] for r in language_id.identify(odd_documents, None).collect()} == {"und"}
 
 
+def test_language_models_keep_every_ngram(spark):
+    """Against plain Kneser-Ney counts: a hundred languages, one with many 4-grams that occur once."""
+    import numpy as np
+
+    rng = random.Random(4)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    texts = {f"l{i:02}": "der hund und die katze sind nicht mit dem vogel" for i in range(99)}
+    texts["many"] = "".join(rng.choice(alphabet) for _ in range(20_000))
+    docs = spark.createDataFrame([(i, t, name) for i, (name, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    models = language_id.fit(docs)
+    padded = "   " + texts["many"] + " "
+    counts = {4: {}}
+    for i in range(len(padded) - 3):
+        counts[4][padded[i:i + 4]] = counts[4].get(padded[i:i + 4], 0) + 1
+    for k in (3, 2, 1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    letters = len(set(texts["many"]) | set(texts["l00"]))
+    discount, contexts = {}, {}
+    for k, c in counts.items():
+        once, twice = (sum(n == x for n in c.values()) for x in (1, 2))
+        discount[k] = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+        for g, n in c.items():
+            total, kinds = contexts.get((k, g[:-1]), (0, 0))
+            contexts[k, g[:-1]] = total + n, kinds + 1
+
+    def plain(g):
+        lower = plain(g[1:]) if len(g) > 1 else 1 / (letters + 1)
+        if (len(g), g[:-1]) not in contexts:
+            return lower
+        total, kinds = contexts[len(g), g[:-1]]
+        return max(counts[len(g)].get(g, 0) - discount[len(g)], 0) / total + discount[len(g)] * kinds / total * lower
+
+    asked = [padded[i:i + 4] for i in range(0, 20_000, 97)] + ["".join(rng.choice(alphabet) for _ in range(4)) for _ in range(200)]
+    packed = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in asked], np.uint64)
+    got = models.logs(packed)[:, models.langs.index("many")]
+    assert np.allclose(got, np.log([plain(g) for g in asked]), atol=1e-4)
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, models).collect()}
+    assert found[99] == "many" and {v for k, v in found.items() if k < 99} == {"l00"}
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
