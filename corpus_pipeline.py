@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept."""
     models = language_id.fit(docs, ~language_id.held_out())
-    own = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    return language_id.identify(own, models).filter("not rejected").select("doc.*")
+    own = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text")
+    return language_id.identify(own, models).filter("not rejected").select("doc.*", "text").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,13 +5,16 @@ adds its character 4-grams to its language's counts; the lower orders count dist
 neighbours, as Kneser-Ney smoothing asks. The models are a table: per n-gram the languages
 that have it, each with its log probability and its log back-off weight as a context. The
 language with the lowest cross-entropy per character wins; a text is rejected if even that
-is far above what training texts of about its length have.
+is far above what training texts of that language and about its length have.
 
 All training texts are counted, and the models keep every n-gram: discounts, context totals
 and probabilities of all orders are joins and sums over the whole counts. No task holds the
 models. Texts are dealt to blocks of about BLOCK_BYTES by a hash of their row; a block's
 distinct n-grams are joined to the table, and the block is scored with the rows found.
-The rejection limits come from at most about CALIBRATION_DOCS texts.
+The rejection limits come from all training texts: mean and deviation per predicted language
+and octave of the length. An octave with under LEAST_TEXTS texts takes the limit of the
+nearest octave of its language, a language without any such octave the highest limit that
+another has at that octave; if no language has one, nothing but `und` is rejected.
 
 Edge cases: null texts and texts without a letter get `und`, score 0 and are rejected;
 rows with a null lang are never learned from; without any training text all are `und`;
@@ -35,7 +38,8 @@ from fwlog.llm._batches import out_schema, pieces, with_columns
 from fwlog.llm._graph import saved
 
 ORDER = 4
-CALIBRATION_DOCS = 20_000
+#: Training texts of a language and length octave that make a limit of their own.
+LEAST_TEXTS = 20
 #: Bytes of text that are scored together.
 BLOCK_BYTES = 24 << 20
 #: n-grams a task holds before it passes its counts on.
@@ -68,7 +72,7 @@ def normalised(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndar
     out = table[np.where(high, 0, flat)]
     for c in np.unique(flat[high]).tolist():  # letters beyond the basic plane are folded into it
         if chr(c).isalpha():
-            out[flat == c] = c & 0xFFFF
+            out[flat == c] = 0xE020 if c & 0xFFFF == 32 else c & 0xFFFF  # never a blank
     blank = out == 32
     keep = ~(blank & np.r_[False, blank[:-1]])
     keep[np.r_[0, ends]] = True  # text borders
@@ -205,7 +209,7 @@ class Models:
     table: np.ndarray
     rows: DataFrame
     unseen: np.ndarray  # log probability of a letter that no text had, per language
-    limits: np.ndarray | None = None  # highest accepted cross-entropy by log2 of the length
+    limits: np.ndarray | None = None  # highest accepted cross-entropy by language and log2 of the length
 
     def logs(self, packed: np.ndarray) -> np.ndarray:
         """Log probability of the last letter of each 4-gram, per language."""
@@ -274,42 +278,56 @@ def kneser_ney(counts: DataFrame) -> tuple[list[str], DataFrame, np.ndarray]:
     return langs, table, np.log(np.array([gamma[name] for name in langs]) / (letters + 1))
 
 
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Models | None:
+    """Models of the texts, without limits; None if there are no texts with a language."""
+    langs, rows, unseen = kneser_ney(saved(gram_counts(docs, text, lang)))
+    return Models(langs, letter_table(), rows, unseen) if langs else None
+
+
 def fit(docs: DataFrame, trains: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Models | None:
     """Models of the texts for which `trains` holds; None if there are none."""
     train = docs.filter(trains) if trains is not None else docs
-    langs, rows, unseen = kneser_ney(saved(gram_counts(train, text, lang)))
-    if not langs:
-        return None
-    models = Models(langs, letter_table(), rows, unseen)
-    models.limits = _limits(train, models, text, key)
+    models = learn(train, text, lang)
+    if models is not None:
+        models.limits = _limits(_scored(train.filter(F.col(lang).isNotNull()).select(key, text), models, text), models.langs)
     return models
 
 
-def _limits(train: DataFrame, models: Models, text: str, key: str) -> np.ndarray:
-    """Highest accepted cross-entropy for texts of 2**k to 2**(k+1) letters."""
-    n = train.count()
-    share = min(1.0, CALIBRATION_DOCS / max(1, n))
-    sample = train.filter(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    seen = _scored(sample.select(key, text), models, text).filter("letters > 0").groupBy(
-        F.floor(F.log2("letters")).cast("int").alias("k")).agg(
+def _limits(found: DataFrame, langs: list[str]) -> np.ndarray:
+    """Highest accepted cross-entropy per language for texts of 2**k to 2**(k+1) letters, from scored training texts."""
+    seen = found.filter("letters > 0").groupBy("lang_pred", F.floor(F.log2("letters")).cast("int").alias("k")).agg(
         F.count("*").alias("n"), F.avg("entropy").alias("m"), F.stddev_pop("entropy").alias("s")).toPandas()
-    out = np.full(64, np.inf)
-    good = seen[seen.n >= 20].sort_values("k")
-    for k, m, s in zip(good.k, good.m, good.s):
-        out[int(k)] = m + REJECT_SD * s + REJECT_MARGIN
-    if len(good):
-        out[: int(good.k.min())] = np.inf  # too short to tell
-        last = int(good.k.max())
-        out[last + 1:] = out[last]
+    out = np.full((len(langs), 64), np.nan)
+    for r in seen[seen.n >= LEAST_TEXTS].itertuples():
+        out[langs.index(r.lang_pred), r.k] = r.m + REJECT_SD * r.s + REJECT_MARGIN
+    for row in out:
+        own = np.flatnonzero(~np.isnan(row))
+        if len(own):
+            row[:] = row[own[np.abs(np.arange(64)[:, None] - own).argmin(axis=1)]]
+    known = ~np.isnan(out[:, 0])
+    out[~known] = out[known].max(axis=0) if known.any() else np.inf
     return out
 
 
+def _judged(found: DataFrame, models: Models | None) -> DataFrame:
+    """Scored texts, also rejected where the cross-entropy is above the limit."""
+    if models is None or models.limits is None:
+        return found
+    limits = found.sparkSession.createDataFrame(pd.DataFrame({
+        "lang_pred": np.repeat(models.langs, 64), "language_octave": np.tile(np.arange(64, dtype=np.int32), len(models.langs)),
+        "language_limit": models.limits.ravel()}), "lang_pred string, language_octave int, language_limit double")
+    both = found.withColumn("language_octave", F.floor(F.log2("letters")).cast("int")).join(
+        F.broadcast(limits), ["lang_pred", "language_octave"], "left")
+    over = F.coalesce(F.col("entropy") > F.col("language_limit"), F.lit(False))
+    return both.withColumn("rejected", F.col("rejected") | over).select(*found.columns)
+
+
 def _scored(docs: DataFrame, models: Models | None, text: str) -> DataFrame:
     schema = out_schema(docs, lang_pred=T.StringType(), score=T.DoubleType(), rejected=T.BooleanType(),
                         entropy=T.DoubleType(), letters=T.LongType())
     if models is None:
         return docs.mapInArrow(_unknown, schema)
-    table, langs, unseen, limits = models.table, models.langs, models.unseen, models.limits
+    table, langs, unseen = models.table, models.langs, models.unseen
 
     def ask(block: pa.Table) -> pa.Table:
         held = np.zeros(0, np.uint64)
@@ -335,10 +353,7 @@ def _scored(docs: DataFrame, models: Models | None, text: str) -> DataFrame:
             worth = np.minimum(letters, EVIDENCE)[:, None]
             share = 1 / np.exp(-(h - low[:, None]) * worth).sum(axis=1)
             ok = letters > 0
-            reject = ~ok
-            if limits is not None:
-                reject |= low > limits[np.log2(np.maximum(letters, 1)).astype(int)]
-            out.append(_answers(part, np.where(ok, np.array(langs, object)[best], UND), np.where(ok, share, 0.0), reject, low, letters))
+            out.append(_answers(part, np.where(ok, np.array(langs, object)[best], UND), np.where(ok, share, 0.0), ~ok, low, letters))
         return pa.Table.from_batches(out).drop_columns([_BLOCK])
 
     blocks = _dealt(docs, text)
@@ -379,7 +394,7 @@ def _unknown(batches):
 
 def identify(docs: DataFrame, models: Models | None, text: str = "text") -> DataFrame:
     """docs with lang_pred, score, rejected, entropy (nats per character) and letters."""
-    return _scored(docs, models, text)
+    return _judged(_scored(docs, models, text), models)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -388,6 +403,9 @@ def held_out(key: str = "doc_id") -> Column:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    models = fit(docs, ~held_out())
-    found = identify(docs.select("doc_id", "text"), models)
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    models = learn(docs.filter(~held_out()))
+    # scored once; the limits come from the training texts among the rows
+    found = saved(_scored(docs.select("doc_id", "text", "lang"), models, "text").drop("text"))
+    if models is not None:
+        models.limits = _limits(found.filter(~held_out() & F.col("lang").isNotNull()), models.langs)
+    return _judged(found, models).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

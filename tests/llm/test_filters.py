@@ -121,6 +121,28 @@ def test_language_models_keep_every_ngram(spark):
     assert found[99] == "many" and {v for k, v in found.items() if k < 99} == {"l00"}
 
 
+def test_language_limits_per_language(spark):
+    """A language far from the others does not lift their limits; thin octaves take the nearest one; all texts count."""
+    rng = random.Random(8)
+    words = "the cat and dog ran with bird over hill then sun was out again".split()
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(20)), "en") for i in range(40)]
+    rows += [(100 + i, "".join(rng.choice(signs) for _ in range(60)), "zh") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.fit(docs)
+    noise = "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(3000))
+    odd = spark.createDataFrame([(1, noise), (2, noise[:20]), (3, "the dog ran over the hill")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in language_id.identify(odd, models).collect()}
+    assert [found[i]["lang_pred"] for i in (1, 2, 3)] == ["en"] * 3
+    assert [found[i]["rejected"] for i in (1, 2, 3)] == [True, True, False]
+    assert not any(r["rejected"] for r in language_id.identify(docs, models).collect())
+
+
+def test_letters_beyond_the_basic_plane_are_no_blanks():
+    padded, _ = language_id.normalised(["a\U00020020b"], language_id.letter_table())
+    assert 32 not in padded[3:6]
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
