@@ -5,8 +5,8 @@ the last returns the tokens. `run` applies them in order; a driver may write eac
 and read it again in between.
 
 Edge cases: null texts count as empty: not toxic, and rejected as no language; rows with a
-null doc_id are judged on their text, and are no near duplicates of any row; of rows that
-repeat a doc_id one stays; an empty table passes through.
+null doc_id or one that repeats are judged on their text like any other, and of each group
+of near duplicates exactly one row stays; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fwlog.llm import language_id, sentencepiece_bpe, simhash_dedup, source_mixing, toxicity
+from fwlog.llm._graph import saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +35,15 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    groups = simhash_dedup.near_duplicates(docs.filter("doc_id is not null"))
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """The row with the smallest doc_id of each group of near duplicates; a null one counts as the largest."""
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    # 128 bits of the row are its key; rows that agree in every column share it, and are copies
+    keyed = docs.withColumn("row_key", F.struct(F.xxhash64(rest, "text").alias("a"), F.xxhash64(F.lit(1), rest, "text").alias("b")))
+    own = keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key").alias("own"), "text")
+    prints = saved(simhash_dedup.fingerprints(own, "own", "text"))
+    shared = simhash_dedup.groups(prints.select("fp", F.col("fp").alias("id")).distinct(), "id")
+    first = prints.join(shared, "fp").groupBy("component_id").agg(F.min("own").alias("own")).select("own.row_key")
+    return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,3 +103,13 @@ def test_pipeline_edges(spark, odd_documents, no_documents, tmp_path):
             kept = stage(spark, docs, os.fspath(tmp_path))
             assert kept.count() >= 0 and (kept.columns == docs.columns or "ids_sha256" in kept.columns)
             docs = kept
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Also if ids are null or repeat: by the texts, not by the ids."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in ("apple", "river", "stone", "cloud"))
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "y"), (None, c, "x"), (None, c, "x"), (None, c, "y"), (None, a, "x"), (3, d, "x"), (3, d, "x"), (2, d, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["text"], r["doc_id"] or 0) for r in kept) == sorted([(a, 1), (b, 1), (c, 0), (d, 2)])
+    assert set(map(tuple, kept)) <= set(rows)
