@@ -1,8 +1,9 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
 import corpus_pipeline
-from fwlog.llm import source_mixing, topk_search, url_reputation, warc_revisit
+from fwlog.llm import filter_audit, source_mixing, topk_search, url_reputation, warc_revisit
 from fwlog.llm.embedding_dedup import op10_embedding_dedup
+from fwlog.llm.filter_audit import op11_filter_audit
 from fwlog.llm.language_id import op4_language_id
 from fwlog.llm.license_scan import op5_license_scan
 from fwlog.llm.sentencepiece_bpe import op8_sentencepiece
@@ -17,12 +18,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_url_reputation, op3_warc_revisit, op4_language_id, op5_license_scan, op6_simhash_dedup, op7_exact_topk,
-        op8_sentencepiece, op9_source_mixing, op10_embedding_dedup,
+        op8_sentencepiece, op9_source_mixing, op10_embedding_dedup, op11_filter_audit,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
+    "op11_filter_audit": filter_audit.ORACLE,
     "op2_url_reputation": url_reputation.ORACLE,
     "op3_warc_revisit": warc_revisit.ORACLE,
     "op7_exact_topk": topk_search.ORACLE,
