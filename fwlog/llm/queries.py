@@ -1,9 +1,10 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
-import corpus_pipeline
 from fwlog.llm import filter_audit, source_mixing, topk_search, url_reputation, warc_revisit
+from fwlog.llm.collision_search import op13_nearest_neighbours
 from fwlog.llm.embedding_dedup import op10_embedding_dedup
 from fwlog.llm.filter_audit import op11_filter_audit
+from fwlog.llm.importance_resampling import op12_importance_resampling
 from fwlog.llm.language_id import op4_language_id
 from fwlog.llm.license_scan import op5_license_scan
 from fwlog.llm.sentencepiece_bpe import op8_sentencepiece
@@ -19,9 +20,9 @@ QUERIES = {
     for f in (
         op1_toxicity, op2_url_reputation, op3_warc_revisit, op4_language_id, op5_license_scan, op6_simhash_dedup, op7_exact_topk,
         op8_sentencepiece, op9_source_mixing, op10_embedding_dedup, op11_filter_audit,
+        op12_importance_resampling, op13_nearest_neighbours,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
     "op11_filter_audit": filter_audit.ORACLE,
