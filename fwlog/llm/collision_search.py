@@ -5,7 +5,7 @@ by their projection. A query opens a window around its own projection in each so
 The windows widen by WIDER at a time (virtual rehashing: nothing is hashed anew, only what
 enters the windows is counted), and vectors in at least THRESHOLD of the windows are
 verified by their exact inner product. A query stops when a share VERIFIED of the block and
-k more have come so far, or when its windows are SURE times as wide as its kth distance, so
+LEAST_VERIFIED + k more have come so far, or when its windows are SURE times as wide as its kth distance, so
 that hardly anything nearer can be left. If the last widening brings too many vectors, the
 threshold rises as far as leaves enough; vectors with the same count are taken together.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from fwlog.llm._graph import saved
 
 K, QUERY_EVERY = 20, 20
-PROJECTIONS, THRESHOLD, VERIFIED = 96, 0.6, 0.08
+PROJECTIONS, THRESHOLD, VERIFIED, LEAST_VERIFIED = 96, 0.6, 0.08, 500
 FIRST_WIDTH, WIDER, SURE = 0.2, 1.6, 1.5
 BLOCK_ROWS, QUERY_ROWS, BAND = 1 << 14, 1 << 12, 1.2
 SEED = 13
@@ -90,7 +90,7 @@ class SortedProjections:
 
     def _batch(self, query_ids, queries, k):
         n, least = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
-        budget = min(n, k + 1 + int(VERIFIED * n))
+        budget = min(n, LEAST_VERIFIED + int(VERIFIED * n) + k + 1)
         norms = np.sqrt((queries * queries).sum(1))
         at = (self.directions[:, :-1] @ (queries / norms[:, None]).T).astype(np.float32)
         low, high = self._window(at, 0.0)
@@ -170,6 +170,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
     right = asked.join(F.broadcast(vector_blocks), "length").select(
         "length", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vector_blocks") - 1)).alias("block"), "query_block", "id", "vec", "place")
     cell = ["length", "band", "block", "query_block"]
+    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))  # columns of their own
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_searched(k), _OUT)
     best = Window.partitionBy("asked").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.select("*", F.row_number().over(best).alias("rank")).filter(F.col("rank") <= k)
