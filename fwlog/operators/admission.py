@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fwlog import vocab
+from fwlog.operators.anchored import anchored_reasons
 
 SALTS = 32
-# Windows per block of the anchored limit. A block holds at most one row per
-# address and microsecond, whatever the traffic.
-BLOCK_WINDOWS = 16
 
 
 def fits_line_limit(value: Column) -> Column:
@@ -142,98 +138,6 @@ def cap_reasons(
     return rows, counts
 
 
-def _next_position(times: np.ndarray, width: int) -> np.ndarray:
-    """Position of the first time at least ``width`` later, per position."""
-    return np.searchsorted(times, times + width, side="left")
-
-
-def _block_summary(width: int):
-    """Where the chain of anchors leaves a block, for every way to enter it."""
-    span = width * BLOCK_WINDOWS
-
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        source, block = key
-        times = np.sort(pdf["t"].to_numpy())
-        n = len(times)
-        nxt = _next_position(times, width)
-        last = np.where(nxt < n, nxt, np.arange(n))
-        while True:  # pointer doubling: log2(BLOCK_WINDOWS) rounds
-            again = last[last]
-            if np.array_equal(again, last):
-                break
-            last = again
-        # The previous anchor reaches less than one width into the block.
-        entries = min(int(np.searchsorted(times, block * span + width)) + 1, n)
-        exits = times[last[:entries]]
-        keep = np.append(exits[1:] != exits[:-1], True)
-        return pd.DataFrame({
-            "source": [source], "block": [block],
-            "until": [times[:entries][keep].tolist()], "exits": [exits[keep].tolist()],
-        })
-
-    return summarise
-
-
-def _chain_blocks(width: int):
-    """Earliest admissible anchor time at the start of each block of one source."""
-    span = width * BLOCK_WINDOWS
-
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        free_at, starts = -(2**62), []
-        for block, until, exits in zip(pdf["block"], pdf["until"], pdf["exits"]):
-            start = max(block * span, free_at)
-            starts.append(start)
-            i = int(np.searchsorted(until, start))
-            if i < len(until):
-                free_at = int(exits[i]) + width
-        return pd.DataFrame({"source": key[0], "block": pdf["block"], "start": starts})
-
-    return chain
-
-
-def _block_anchors(width: int):
-    def anchors(key, times: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(times["t"].to_numpy())
-        found = []
-        if len(starts):
-            i = int(np.searchsorted(t, starts["start"].iloc[0]))
-            while i < len(t):  # at most BLOCK_WINDOWS steps
-                found.append(t[i])
-                i = int(np.searchsorted(t, t[i] + width))
-        return pd.DataFrame({"source": [key[0]] * len(found), "anchor": np.array(found, "int64")})
-
-    return anchors
-
-
-def window_anchors(df: DataFrame, source: str, ts: str, seconds: int) -> DataFrame:
-    """All window anchors ``(source, anchor)`` in microseconds.
-
-    An anchor is the first row of a source at least one width after the previous
-    anchor. The chain is sequential, but a stretch of time is a function from the
-    way it is entered to the way it is left: blocks are summarised in parallel,
-    only the summaries are chained per source, and the blocks are then filled in.
-    """
-    width = seconds * 1_000_000
-    times = (
-        df.filter(F.col(ts).isNotNull())
-        .select(F.col(source).alias("source"), F.unix_micros(ts).alias("t"))
-        .distinct()
-        .select("*", slot(F.col("t"), width * BLOCK_WINDOWS).alias("block"))
-    )
-    blocks = times.groupBy("source", "block")
-    summaries = blocks.applyInPandas(
-        _block_summary(width),
-        "source string, block bigint, until array<bigint>, exits array<bigint>",
-    )
-    starts = summaries.groupBy("source").applyInPandas(
-        _chain_blocks(width), "source string, block bigint, start bigint"
-    )
-    return blocks.cogroup(starts.groupBy("source", "block")).applyInPandas(
-        _block_anchors(width), "source string, anchor bigint"
-    )
-
-
 def admit_anchored(
     df: DataFrame,
     limit: int = vocab.REQUEST_CAP,
@@ -246,32 +150,5 @@ def admit_anchored(
 
     A missing sender counts as one sender; rows without a time have no window.
     """
-    width = seconds * 1_000_000
-    anchors = window_anchors(df, source, ts, seconds)
-    own_slot = slot(F.col("anchor"), width)
-    # Anchors are a width apart, so a slot of that width holds at most one, and a
-    # row belongs to the anchor of its own slot or of the slot before.
-    covering = (
-        anchors.select(
-            F.col("source").alias("__source"), "anchor", own_slot.alias("__own"),
-            F.explode(F.array(own_slot, own_slot + 1)).alias("__of"),
-        )
-        .groupBy("__source", "__of").agg(
-            F.max(F.when(F.col("__of") == F.col("__own"), F.col("anchor"))).alias("own"),
-            F.max(F.when(F.col("__of") > F.col("__own"), F.col("anchor"))).alias("prior"),
-        )
-    )
-    same = F.col(source).eqNullSafe(F.col("__source")) & (F.col("__slot") == F.col("__of"))
-    rows = df.select(
-        "*", F.unix_micros(ts).alias("__t"), window_number(F.col(ts), seconds).alias("__slot")
-    ).join(covering, same)
-    rows = rows.select(
-        *df.columns,
-        F.when(F.col("own") <= F.col("__t"), F.col("own")).otherwise(F.col("prior")).alias("__anchor"),
-    )
-    order = Window.partitionBy(source, "__anchor").orderBy(ts, tie)
-    return (
-        rows.select("*", F.row_number().over(order).alias("__n"))
-        .filter(F.col("__n") <= limit)
-        .select(*df.columns)
-    )
+    rows = anchored_reasons(df, limit, seconds, source, ts, tie)
+    return rows.filter(F.col("refused").isNull()).select(*df.columns)

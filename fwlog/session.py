@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE re-plans partition counts, skewed joins and broadcast choices at run time;
 # the byte limits keep one task's input well inside executor memory.
@@ -50,3 +51,20 @@ def local_session(app: str = "fwlog", cpus: int | None = None, **extra) -> Spark
             **extra,
         },
     )
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder of ``spark.checkpoint.dir``; later steps read that copy.
+
+    Only a session whose tasks run in this process may use a folder of its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
