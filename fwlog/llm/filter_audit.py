@@ -111,21 +111,25 @@ def interactions(counted: DataFrame, letters: str) -> DataFrame:
         *[F.col("row")[c].alias(c) for c in COUNTS], F.get("removals", F.col("row")["bit"]).alias("shapley"))
 
 
-def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filters A to E in all 120 orders over the documents, per source."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("text"))
+def audit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
+    """Filters A to E in all 120 orders, per part."""
+    own = docs.select(F.col(key).alias("doc_id"), F.coalesce(part, F.lit("")).alias("part"), F.coalesce(text, F.lit("")).alias("text"))
     fails = text_failures(F.col("text"))
     thin = saved(own.select(
         "doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), *[f.alias(n) for n, f in fails.items()]))
-    marks = labels.groupBy("doc_id").agg(
+    marks = labels.groupBy(F.col(key).alias("doc_id")).agg(
         F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     rows = with_copies(thin, fails="E").join(marks, "doc_id", "left")
     flags = (F.coalesce(c, F.lit(False)) for c in ("good", "toxic"))
     return interactions(cells(rows, [F.col(c) for c in "ABCDE"], F.col("part"), *flags), "ABCDE")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of the documents by source."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return audit(docs, labels)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
