@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fwlog.session import checkpointed
+
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder; later steps read that copy."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+saved = checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ is far above what training texts of that language and about its length have.
 
 All training texts are counted, and the models keep every n-gram: discounts, context totals
 and probabilities of all orders are joins and sums over the whole counts. No task holds the
-models. Texts are dealt to blocks of about BLOCK_BYTES by a hash of their row; a block's
-distinct n-grams are joined to the table, and the block is scored with the rows found.
+models. Every distinct text (by a 128-bit key) is scored once, whatever the number of its
+copies, and the answers are joined back by that key. Distinct texts are dealt to blocks of
+about BLOCK_BYTES by their key; a block's distinct n-grams are joined to the table, and the
+block is scored with the rows found. Letters beyond the basic plane are folded onto it.
 The rejection limits come from all training texts: mean and deviation per predicted language
 and octave of the length. An octave with under LEAST_TEXTS texts takes the limit of the
 nearest octave of its language, a language without any such octave the highest limit that
@@ -32,16 +34,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fwlog.llm._batches import out_schema, pieces, with_columns
+from fwlog.llm._batches import pieces
 from fwlog.llm._graph import saved
 
 ORDER = 4
 #: Training texts of a language and length octave that make a limit of their own.
 LEAST_TEXTS = 20
 #: Bytes of text that are scored together.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: n-grams a task holds before it passes its counts on.
 HELD_GRAMS = 500_000
 #: A text is rejected above mean + REJECT_SD standard deviations + REJECT_MARGIN nats per character.
@@ -49,7 +50,8 @@ REJECT_SD, REJECT_MARGIN = 8.0, 0.25
 #: Characters of evidence a confidence is worth at most.
 EVIDENCE = 100
 UND = "und"
-_BLOCK = "language_block"
+#: Keys of texts that a task remembers in order to pass copies on once.
+HELD_KEYS = 1 << 20
 
 
 def letter_table() -> np.ndarray:
@@ -284,15 +286,20 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Models | N
     return Models(langs, letter_table(), rows, unseen) if langs else None
 
 
-def fit(docs: DataFrame, trains: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Models | None:
-    """Models of the texts for which `trains` holds; None if there are none."""
+def fit(docs: DataFrame, trains: Column | None = None, text: str = "text", lang: str = "lang") -> Models | None:
+    """Models of the texts for which `trains` holds, with their limits; None if there are none."""
     train = docs.filter(trains) if trains is not None else docs
     models = learn(train, text, lang)
     if models is not None:
-        models.limits = _limits(_scored(train.filter(F.col(lang).isNotNull()).select(key, text), models, text), models.langs)
+        _set_limits(models, saved(_scored(train, models, text)), train, text, lang)
     return models
 
 
+def _set_limits(models: Models, answers: DataFrame, train: DataFrame, text: str, lang: str) -> None:
+    known = train.filter(F.col(lang).isNotNull()).select(*_key(F.col(text)))
+    models.limits = _limits(known.join(answers, KEY), models.langs)
+
+
 def _limits(found: DataFrame, langs: list[str]) -> np.ndarray:
     """Highest accepted cross-entropy per language for texts of 2**k to 2**(k+1) letters, from scored training texts."""
     seen = found.filter("letters > 0").groupBy("lang_pred", F.floor(F.log2("letters")).cast("int").alias("k")).agg(
@@ -322,26 +329,56 @@ def _judged(found: DataFrame, models: Models | None) -> DataFrame:
     return both.withColumn("rejected", F.col("rejected") | over).select(*found.columns)
 
 
-def _scored(docs: DataFrame, models: Models | None, text: str) -> DataFrame:
-    schema = out_schema(docs, lang_pred=T.StringType(), score=T.DoubleType(), rejected=T.BooleanType(),
-                        entropy=T.DoubleType(), letters=T.LongType())
-    if models is None:
-        return docs.mapInArrow(_unknown, schema)
+KEY = ["text_a", "text_b"]
+
+
+def _key(text: Column) -> list[Column]:
+    """128 bits of a text, as columns named KEY."""
+    text = F.coalesce(text, F.lit(""))
+    return [c.alias(n) for c, n in zip((F.xxhash64(text), F.xxhash64(F.lit(1), text)), KEY)]
+
+
+def _once(batches):
+    """Rows whose text the task has not passed on before."""
+    seen: set = set()
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in KEY)))
+        fresh = np.zeros(len(keys), bool)
+        for i, k in enumerate(keys):
+            if k not in seen:
+                fresh[i] = True
+                if len(seen) < HELD_KEYS:
+                    seen.add(k)
+        yield batch.filter(pa.array(fresh))
+
+
+def _blocks(docs: DataFrame, text: str) -> DataFrame:
+    """Distinct texts: block, key, text. Copies meet one per task, and one by one, before the blocks are formed."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    keyed = docs.select(*_key(F.col(text)), F.coalesce(text, F.lit("")).alias("text"))
+    one = keyed.mapInArrow(_once, keyed.schema)
+    block = F.pmod(F.col(KEY[0]), F.lit(max(1, -(-size // BLOCK_BYTES)))).alias("block")
+    return one.select(block, "*").repartition("block").groupBy("block", *KEY).agg(F.first("text").alias("text"))
+
+
+def _scored(docs: DataFrame, models: Models, text: str) -> DataFrame:
+    """Per distinct text its key, lang_pred, score, rejected, entropy and letters."""
+    schema = f"{KEY[0]} long, {KEY[1]} long, lang_pred string, score double, rejected boolean, entropy double, letters long"
     table, langs, unseen = models.table, models.langs, models.unseen
 
     def ask(block: pa.Table) -> pa.Table:
         held = np.zeros(0, np.uint64)
-        for part in _parts(block, text):
-            held = np.r_[held, pd.unique(grams(*normalised(_texts(part, text), table)))]
-        size, key = asked(pd.unique(held))
-        return pa.table({_BLOCK: np.full(len(size), block[_BLOCK][0].as_py(), np.int64), "size": size, "key": key})
+        for part in _parts(block):
+            held = pd.unique(np.r_[held, pd.unique(grams(*normalised(part.column("text").to_pylist(), table)))])
+        size, key = asked(held)
+        return pa.table({"block": np.full(len(size), block["block"][0].as_py(), np.int64), "size": size, "key": key})
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
         seen = Seen.of(found, unseen)
         every = seen.logs(seen.keys[ORDER - 1])
         out = []
-        for part in _parts(block, text):
-            padded, inner = normalised(_texts(part, text), table)
+        for part in _parts(block):
+            padded, inner = normalised(part.column("text").to_pylist(), table)
             packed = grams(padded, inner)
             at, own = pd.factorize(packed)
             logs = every[seen._rows(own, ORDER)]
@@ -353,48 +390,64 @@ def _scored(docs: DataFrame, models: Models | None, text: str) -> DataFrame:
             worth = np.minimum(letters, EVIDENCE)[:, None]
             share = 1 / np.exp(-(h - low[:, None]) * worth).sum(axis=1)
             ok = letters > 0
-            out.append(_answers(part, np.where(ok, np.array(langs, object)[best], UND), np.where(ok, share, 0.0), ~ok, low, letters))
-        return pa.Table.from_batches(out).drop_columns([_BLOCK])
+            out.append(pa.table({
+                **{c: part.column(c) for c in KEY}, "lang_pred": pa.array(np.where(ok, np.array(langs, object)[best], UND), pa.string()),
+                "score": np.where(ok, share, 0.0), "rejected": ~ok, "entropy": low, "letters": letters.astype(np.int64)}))
+        return pa.concat_tables(out)
 
-    blocks = _dealt(docs, text)
-    keys = blocks.groupBy(_BLOCK).applyInArrow(ask, f"{_BLOCK} long, size int, key long")
-    found = keys.join(models.rows, ["size", "key"], "left").select(_BLOCK, "size", "key", "lang", "logp", "backoff")
-    return blocks.groupBy(_BLOCK).cogroup(found.groupBy(_BLOCK)).applyInArrow(run, schema)
+    blocks = _blocks(docs, text)
+    keys = blocks.groupBy("block").applyInArrow(ask, "block long, size int, key long")
+    found = keys.join(models.rows, ["size", "key"], "left").select("block", "size", "key", "lang", "logp", "backoff")
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
 
 
-def _dealt(docs: DataFrame, text: str) -> DataFrame:
-    """docs with the number of a block of texts, which depends on the row alone."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    rest = [c for c in docs.columns if c != text]
-    row = F.xxhash64(F.col(text), *([F.to_json(F.struct(*rest))] if rest else []))
-    return docs.withColumn(_BLOCK, F.pmod(row, F.lit(n)))
+def _parts(block: pa.Table):
+    for batch in block.to_batches():
+        yield from pieces(batch, "text")
 
 
-def _parts(block: pa.Table, text: str):
-    for batch in block.to_batches():
-        yield from pieces(batch, text)
+def _joined(docs: DataFrame, answers: DataFrame | None, text: str) -> DataFrame:
+    """docs with the answers for their texts; columns of the same names are replaced."""
+    names = {"lang_pred": "string", "score": "double", "rejected": "boolean", "entropy": "double", "letters": "long"}
+    kept = [c for c in docs.columns if c not in names]
+    if answers is None:  # nothing was learned
+        none = dict(zip(names, (F.lit(UND), F.lit(0.0), F.lit(True), F.lit(None), F.lit(0))))
+        return docs.select(*kept, *[none[n].cast(t).alias(n) for n, t in names.items()])
+    own = docs.select(F.struct(*[F.col(c) for c in kept]).alias("doc"), *_key(F.col(text)))
+    return own.join(answers, KEY).select("doc.*", *names)
 
 
-def _texts(part: pa.RecordBatch, text: str) -> list[str]:
-    return [t or "" for t in part.column(text).to_pylist()]
+def identify(docs: DataFrame, models: Models | None, text: str = "text") -> DataFrame:
+    """docs with lang_pred, score, rejected, entropy (nats per character) and letters."""
+    answers = None if models is None else _judged(_scored(docs, models, text), models)
+    return _joined(docs, answers, text)
 
 
-def _answers(part: pa.RecordBatch, lang, score, rejected, entropy, letters) -> pa.RecordBatch:
-    return with_columns(part, lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()),
-                        rejected=pa.array(rejected, pa.bool_()), entropy=pa.array(entropy, pa.float64()),
-                        letters=pa.array(letters, pa.int64()))
+def _learned_answers(docs: DataFrame, trains: Column, text: str, lang: str) -> DataFrame | None:
+    """The judged answers for all texts, by models of the docs for which `trains` holds; every text is scored once."""
+    train = docs.filter(trains)
+    models = learn(train, text, lang)
+    if models is None:
+        return None
+    answers = saved(_scored(docs, models, text))
+    _set_limits(models, answers, train, text, lang)
+    return _judged(answers, models)
 
 
-def _unknown(batches):
-    for batch in batches:
-        n = batch.num_rows
-        yield _answers(batch, [UND] * n, [0.0] * n, [True] * n, [None] * n, [0] * n)
+def learn_and_identify(docs: DataFrame, trains: Column, text: str = "text", lang: str = "lang") -> DataFrame:
+    """As `identify` with models of the docs for which `trains` holds."""
+    return _joined(docs, _learned_answers(docs, trains, text, lang), text)
 
 
-def identify(docs: DataFrame, models: Models | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score, rejected, entropy (nats per character) and letters."""
-    return _judged(_scored(docs, models, text), models)
+def accepted(docs: DataFrame, trains: Column, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The docs whose language those models accept, with their own columns."""
+    answers = _learned_answers(docs, trains, text, lang)
+    if answers is None:
+        return docs.limit(0)
+    names = [f"__accepted_{c}" for c in KEY]
+    keys = answers.filter("not rejected").select(*[F.col(c).alias(n) for c, n in zip(KEY, names)])
+    same = [k == F.col(n) for k, n in zip(_key(docs[text]), names)]
+    return docs.join(keys, same, "left_semi")
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -402,10 +455,6 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    models = learn(docs.filter(~held_out()))
-    # scored once; the limits come from the training texts among the rows
-    found = saved(_scored(docs.select("doc_id", "text", "lang"), models, "text").drop("text"))
-    if models is not None:
-        models.limits = _limits(found.filter(~held_out() & F.col("lang").isNotNull()), models.langs)
-    return _judged(found, models).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    found = learn_and_identify(docs, ~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

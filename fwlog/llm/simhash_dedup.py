@@ -213,6 +213,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return groups(saved(fingerprints(docs, key, text, width)), key, margin)
 
 
+def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the smallest key of each group of near duplicates, with its own columns; a null key counts as the largest.
+
+    Rows are told apart by 128 bits of all their columns; of rows that agree in every column one stays.
+    """
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c != text]))
+    row = F.struct(F.xxhash64(rest, F.col(text)).alias("a"), F.xxhash64(F.lit(1), rest, F.col(text)).alias("b"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), row.alias("row_key"))
+    own = F.struct(F.col(f"doc.{key}").isNull().alias("last"), F.col(f"doc.{key}").alias("key"), "row_key")
+    prints = saved(fingerprints(keyed.select(own.alias("own"), F.col(f"doc.{text}").alias("text")), "own", "text"))
+    shared = groups(prints.select("fp", F.col("fp").alias("id")).distinct(), "id")
+    first = prints.join(shared, "fp").groupBy("component_id").agg(F.min("own").alias("own")).select("own.row_key")
+    return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select("doc.*")
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -75,6 +75,48 @@ def test_mixing_rates_and_edges(spark, odd_documents, no_documents):
     assert source_mixing.mix(no_documents).count() == 0
 
 
+def test_rows_without_a_key_draw_apart(spark, monkeypatch):
+    rows = spark.range(0, 40000, numPartitions=8).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("s").alias("source"), F.lit(1).alias("place"),
+        F.lit("own").alias("copy"))
+    copies = source_mixing.replicated(rows)
+    n = copies.count()
+    assert abs(n - 40000) < 4 * 200
+    assert copies.select("shuffle_key").distinct().count() == n
+    spread = copies.groupBy(F.pmod(F.hash("shuffle_key"), F.lit(8)).alias("p")).count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 1.2 * n / 8
+    assert {(r.place, r["copy"]) for r in copies.select("doc.*").distinct().collect()} == {(1, "own")}
+    # one id, different texts: every row draws for itself
+    texts = rows.select(F.lit(7).alias("doc_id"), F.concat(F.lit("t"), F.monotonically_increasing_id()).alias("text"), "source").limit(4000)
+    drawn = dict(source_mixing.mix(texts.repartition(4)).groupBy("text").count().groupBy("count").count().collect())
+    assert 1200 < drawn[1] < 1750 and drawn[2] > 500
+    # the plan for very many sources finds the same
+    monkeypatch.setattr(source_mixing, "BROADCAST_SOURCES", 0)
+    again = dict(source_mixing.mix(texts.repartition(4)).groupBy("text").count().groupBy("count").count().collect())
+    assert again == drawn
+
+
+def test_equal_texts_are_scored_once(spark):
+    long = "the cat and the dog ran with the bird over the hill " * 1200
+    docs = spark.createDataFrame([(i, "der hund und die katze " * (i + 1), "de") for i in range(30)], "doc_id long, text string, lang string")
+    docs = docs.unionByName(docs.limit(1).select(
+        F.explode(F.sequence(F.lit(100).cast("long"), F.lit(2099).cast("long"))).alias("doc_id"), F.lit(long).alias("text"), F.lit("en").alias("lang"))).repartition(8)
+    blocks = language_id._blocks(docs, "text")
+    assert blocks.count() == 31 and blocks.agg(F.max(F.octet_length("text"))).first()[0] == len(long)
+    found = language_id.learn_and_identify(docs, F.lit(True)).groupBy("lang", "lang_pred").count().collect()
+    assert sorted((r.lang, r.lang_pred, r["count"]) for r in found) == [("de", "de", 30), ("en", "en", 2000)]
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    odd = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).select(
+        "*", F.lit("r").alias("row_key"), F.lit("c").alias("copy"), F.lit("a").alias("text_a"), F.lit("s").alias("score"), F.lit("d").alias("doc"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, "/root/testdata/sf0.001")
+        assert kept.schema == odd.schema
+        values = kept.select("row_key", "copy", "text_a", "score", "doc").distinct().collect()
+        assert [tuple(r) for r in values] in ([("r", "c", "a", "s", "d")], [])
+
+
 def test_pipeline_stages_against_the_operators(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -88,8 +130,7 @@ def test_pipeline_stages_against_the_operators(spark, tmp_path):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fit(docs, labels, ~toxicity.held_out())
     assert ids[1] == sorted(r["doc_id"] for r in toxicity.score(docs, model).filter("predicted = 0").select("doc_id").collect())
-    models = language_id.fit(frames[1], ~language_id.held_out())
-    assert ids[2] == sorted(r["doc_id"] for r in language_id.identify(frames[1], models).filter("not rejected").select("doc_id").collect())
+    assert ids[2] == sorted(r["doc_id"] for r in language_id.learn_and_identify(frames[1], ~language_id.held_out()).filter("not rejected").select("doc_id").collect())
     groups = simhash_dedup.near_duplicates(frames[2]).collect()
     assert ids[3] == sorted({r["component_id"] for r in groups})
     assert set(ids[4]) <= set(ids[3]) and ids[5] == ids[4]
