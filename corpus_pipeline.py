@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fwlog.llm import language_id, sentencepiece_bpe, simhash_dedup, source_mixing, toxicity
-from fwlog.llm._graph import saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,26 +28,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept."""
-    models = language_id.fit(docs, ~language_id.held_out())
-    own = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text")
-    return language_id.identify(own, models).filter("not rejected").select("doc.*", "text").select(*docs.columns)
+    return language_id.accepted(docs, ~language_id.held_out())
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each group of near duplicates; a null one counts as the largest."""
-    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
-    # 128 bits of the row are its key; rows that agree in every column share it, and are copies
-    keyed = docs.withColumn("row_key", F.struct(F.xxhash64(rest, "text").alias("a"), F.xxhash64(F.lit(1), rest, "text").alias("b")))
-    own = keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key").alias("own"), "text")
-    prints = saved(simhash_dedup.fingerprints(own, "own", "text"))
-    shared = simhash_dedup.groups(prints.select("fp", F.col("fp").alias("id")).distinct(), "id")
-    first = prints.join(shared, "fp").groupBy("component_id").agg(F.min("own").alias("own")).select("own.row_key")
-    return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    return simhash_dedup.first_of_groups(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of the documents by their source's repetition rate, globally shuffled."""
-    return source_mixing.mix(docs).select(*docs.columns)
+    return source_mixing.replicated(docs).select("doc.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
