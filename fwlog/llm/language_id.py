@@ -43,6 +43,8 @@ ORDER = 4
 LEAST_TEXTS = 20
 #: Bytes of text that are scored together.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that are cut into n-grams at once.
+PART_BYTES = 1 << 20
 #: n-grams a task holds before it passes its counts on.
 HELD_GRAMS = 500_000
 #: A text is rejected above mean + REJECT_SD standard deviations + REJECT_MARGIN nats per character.
@@ -122,7 +124,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             held.clear()
 
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, PART_BYTES):
                 own = pd.Series(part.column(text).to_pylist(), dtype=object)
                 for name, texts in own.groupby(part.column(lang).to_pandas()):
                     texts = [t for t in texts if t]
@@ -403,7 +405,7 @@ def _scored(docs: DataFrame, models: Models, text: str) -> DataFrame:
 
 def _parts(block: pa.Table):
     for batch in block.to_batches():
-        yield from pieces(batch, "text")
+        yield from pieces(batch, "text", PART_BYTES)
 
 
 def _joined(docs: DataFrame, answers: DataFrame | None, text: str) -> DataFrame:
