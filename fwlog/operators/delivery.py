@@ -48,6 +48,11 @@ def session_intervals(sessions: DataFrame, until: Column) -> DataFrame:
     return opened.select("*", F.inline(_cover(first, last + 1)).alias("__level", "__node"))
 
 
+def _salts(level: Column) -> Column:
+    """Parts that the messages of an interval of ``2**level`` minutes are dealt to: 1 up to 128."""
+    return F.call_function("shiftleft", F.lit(1), F.shiftright(level, 1))
+
+
 def deliver_to_sessions(
     messages: DataFrame,
     sessions: DataFrame,
@@ -58,16 +63,23 @@ def deliver_to_sessions(
 
     Interval join by equality on (level, node) of the sessions' dyadic intervals, with the
     exact bounds as a filter. A message probes the levels that occur, which are one row of
-    at most 15 numbers. ``until`` closes sessions that are still open.
+    at most 15 numbers. Messages of a long interval meet under many keys: they are dealt to
+    salts by a hash, and the interval of a session is repeated for each of them, so a session
+    that is always open gathers no messages in one task. ``until`` closes sessions that are
+    still open.
     """
     width = BUCKET_SECONDS * 1_000_000
     opened = session_intervals(sessions, F.current_timestamp() if until is None else until)
+    opened = opened.select("*", F.explode(F.sequence(F.lit(0), _salts(F.col("__level")) - 1)).alias("__salt"))
     levels = opened.agg(F.collect_set("__level").alias("__levels"))
     keyed = messages.select("*", slot(F.unix_micros(ts), width).alias("__slot")).crossJoin(F.broadcast(levels))
-    keyed = keyed.select("*", F.explode("__levels").alias("__level")).withColumn(
-        "__node", F.expr("shiftright(__slot, __level)"))
+    hashed = [f.name for f in messages.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = keyed.select("*", F.xxhash64(*hashed).alias("__dealt"), F.explode("__levels").alias("__level"))
+    keyed = keyed.select(
+        *messages.columns, "__level", F.expr("shiftright(__slot, __level)").alias("__node"),
+        F.pmod(F.col("__dealt"), _salts(F.col("__level"))).cast("int").alias("__salt"))
     inside = (F.col("connected_at") <= F.col(ts)) & (F.col(ts) < F.col("disconnected_at"))
-    return keyed.join(opened, ["__level", "__node"]).filter(inside).select(
+    return keyed.join(opened, ["__level", "__node", "__salt"]).filter(inside).select(
         *messages.columns, "collector_id"
     )
 

@@ -17,7 +17,7 @@ from fwlog.functions.actions import session_action
 from fwlog.functions.memo import once
 from fwlog.functions.net import is_address
 from fwlog.functions.text import (
-    BLANKS, DIGIT, NWS, WS, after, extract, none_if_empty, sql_array, sql_text, strip,
+    DIGIT, NWS, WS, after, extract, none_if_empty, sql_array, sql_text, strip,
 )
 from fwlog.operators import syslogs
 
@@ -42,10 +42,14 @@ MARKER_TAIL = rf"%%{DIGIT}{{1,4}}{WS}*\z"
 MODULE = rf"^{_MODULE}"
 # Key(n)=value. The look-behind keeps the scan linear on hostile text.
 _LETTER = "[A-Za-z_]"
-FIELD = rf"(?<!{_LETTER})({_LETTER}+\({DIGIT}+\))=([^;]*)"
-
-_COLUMN_KEYS = {column: key for key, column in vocab.FIELD_COLUMNS.items()}
-_PLAIN_KEYS = [k for k, c in vocab.FIELD_COLUMNS.items() if c not in vocab.ADDRESS_COLUMNS]
+_KEY = rf"{_LETTER}++\({DIGIT}++\)="
+FIELD = rf"(?<!{_LETTER})({_LETTER}+\({DIGIT}+\)=)([^;]*)"
+# what stands before the values of a line whose segments are empty or start with a key
+REGULAR = rf"^(?:;|{_KEY};)*+$"
+
+# Keys are kept with their equals sign.
+_COLUMN_KEYS = {column: key + "=" for key, column in vocab.FIELD_COLUMNS.items()}
+_PLAIN_COLUMNS = [c for c in vocab.SESSION_COLUMNS if c not in vocab.ADDRESS_COLUMNS]
 # Record columns that a system log may fill as well.
 _SHARED = ("proto", "category", "event", "user", "src", "dst", "app")
 _TEMP = "__"
@@ -111,10 +115,7 @@ def header_columns() -> dict[str, Column]:
 
 
 def _last_value(key: str) -> Column:
-    return F.expr(
-        f"btrim(get({_TEMP}vals, CAST(array_position({_TEMP}keys, {sql_text(key)}) AS INT) - 1), "
-        f"{sql_text(BLANKS)})"
-    )
+    return F.expr(f"get({_TEMP}vals, CAST(array_position({_TEMP}keys, {sql_text(key)}) AS INT) - 1)")
 
 
 def _usable(value: Column) -> Column:
@@ -130,25 +131,21 @@ def _last_address(column: str) -> Column:
     key, last = _COLUMN_KEYS[column], _t(f"last_{column}")
     kept = F.filter(
         F.arrays_zip(_t("keys").alias("k"), _t("vals").alias("v")),
-        lambda p: (p["k"] == key) & _usable(strip(p["v"])),
+        lambda p: (p["k"] == key) & _usable(p["v"]),
     )
-    return F.when(last.isNull() | _usable(last), last).otherwise(strip(F.get(kept, 0)["v"]))
+    return F.when(last.isNull() | _usable(last), last).otherwise(F.get(kept, 0)["v"])
 
 
 @once
 def _extras() -> Column:
     """Unknown keys with their last value."""
-    keys = _t("keys")
-    known = F.array(*[F.lit(k) for k in vocab.FIELD_COLUMNS])
-    unknown = F.filter(
-        F.arrays_zip(keys.alias("k"), _t("vals").alias("v")),
-        lambda p, i: ~F.array_contains(known, p["k"]) & (F.array_position(keys, p["k"]) == i + 1),
-    )
+    known = F.expr(sql_array(["", *_COLUMN_KEYS.values()]))
     return F.map_from_entries(
         F.transform(
-            unknown,
-            lambda p: F.struct(
-                F.concat(F.lit(vocab.UNKNOWN_KEY_PREFIX), p["k"]), strip(p["v"])
+            F.array_except(_t("keys"), known),
+            lambda k: F.struct(
+                F.concat(F.lit(vocab.UNKNOWN_KEY_PREFIX), F.rtrim(k, F.lit("="))),
+                F.get(_t("vals"), F.array_position(_t("keys"), k).cast("int") - 1),
             ),
         )
     )
@@ -175,29 +172,48 @@ def observed(df: DataFrame, component: str, counters: list[Column]) -> DataFrame
 
 @once
 def _pair_steps() -> list[list[Column]]:
-    """P5: reversed keys and values, so that the first hit is the last occurrence."""
-    found = {
-        n: F.reverse(F.regexp_extract_all(_t("payload"), F.lit(FIELD), F.lit(g)))
-        for n, g in (("keys", 1), ("vals", 2))
+    """P5: reversed keys (with their equals sign) and values, so that the first hit is the last occurrence.
+
+    A payload is split at its semicolons, and one test over all that stands before the values
+    tells whether every segment starts with a key. Only other payloads are searched for keys.
+    """
+    segments = F.reverse(F.split(_t("payload"), ";"))
+    heads = F.transform(_t("segments"), lambda s: F.trim(F.left(s, F.locate("=", s))))
+    none = F.array().cast("array<string>")
+    searched = {
+        n: F.reverse(F.regexp_extract_all(_t("payload"), F.lit(FIELD), F.lit(g))) for n, g in (("keys", 1), ("vals", 2))
     }
+    fields = F.contains(_t("payload"), F.lit(")="))
+    values = F.transform(_t("segments"), lambda s: F.trim(F.substring(s, F.locate("=", s) + 1, F.lit(2**31 - 1))))
     last = {f"last_{c}": _last_value(_COLUMN_KEYS[c]) for c in vocab.ADDRESS_COLUMNS}
-    return [_named(**found), _named(**last)]
+    return [
+        _named(segments=F.when(fields, segments)),
+        _named(heads=heads),
+        # blanks other than spaces make a payload irregular as well
+        _named(regular=F.rlike(F.concat(F.array_join("__heads", ";"), F.lit(";")), F.lit(REGULAR)) & _plain(_t("payload"))),
+        _named(
+            keys=F.when(_t("regular"), _t("heads")).when(fields, searched["keys"]).otherwise(none),
+            vals=F.when(_t("regular"), values).when(fields, F.transform(searched["vals"], strip)).otherwise(none),
+        ),
+        _named(**last),
+    ]
+
+
+def _plain(text: Column) -> Column:
+    """Whether a text has no blanks but spaces, none of them beyond ASCII."""
+    return F.rlike(text, F.lit(r"^[\x20-\x7e]*+$"))
 
 
 @once
 def _session_columns() -> list[Column]:
     """P6 and the header, all read from the pairs and the header pieces."""
-    known = F.expr(
-        f"array_contains({_TEMP}keys, {sql_text(_COLUMN_KEYS['proto'])}) OR "
-        f"arrays_overlap({_TEMP}keys, {sql_array(_PLAIN_KEYS)})"
-    )
     values = [
         (_last_address(c) if c in vocab.ADDRESS_COLUMNS else _last_value(_COLUMN_KEYS[c])).alias(c)
         for c in vocab.SESSION_COLUMNS
     ]
     heads = [c.alias(n) for n, c in header_columns().items()]
     kept = [_t(c) for c in ("line", "payload", "keys", "vals")]
-    return [*kept, *_named(known=F.coalesce(known, F.lit(False))), *heads, *values]
+    return [*kept, *heads, *values]
 
 
 @once
@@ -207,7 +223,7 @@ def _system_steps() -> list[list[Column]]:
     gate = ~_t("found") & F.contains(F.col("_module"), F.lit("/"))
     detail = syslogs.details(_t("kind"), F.col("_module"), _t("text"))
     return [
-        _named(found=_t("known") | any_address),
+        _named(found=F.coalesce(*[F.col(c) for c in _PLAIN_COLUMNS]).isNotNull() | any_address),
         _named(text=F.when(gate, strip(_t("payload")))),
         _named(kind=F.when(_t("text").isNotNull(), syslogs.kind(_t("text")))),
         _named(sys=F.when(_t("kind").isNotNull(), detail)),

@@ -309,3 +309,68 @@ def delivery_log(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> Data
             F.struct(F.lit("udp").alias("vector"), (e % 6 != 0).alias("ok")),
         )),
     )
+
+
+# Texts around the length limits, one line per event.
+
+
+def long_policy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session lines with a policy name that makes every 97th message longer than a message may be."""
+    e = F.col("e")
+    n = F.when(e % 97 == 0, 65000 + e % 1000).otherwise(e % 50 + 1).cast("int")
+    return keyed_events(spark, sf_dir, 1).select(e.alias("msg_id"), F.concat(
+        F.lit("Protocol(1001)=TCP;PolicyName(1070)="), F.repeat(F.lit("p"), n), F.lit(";Event(1048)=(8)Session created"),
+    ).alias("value"))
+
+
+def long_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV lines whose time and host are around the lengths an envelope allows."""
+    e = F.col("e")
+    return keyed_events(spark, sf_dir, 1).select(e.alias("msg_id"), F.concat(
+        F.lit('"2026-03-13 10:24:05'), F.repeat(F.lit("+"), (e % 90).cast("int")), F.lit('",h'),
+        F.repeat(F.lit("x"), (200 + e % 100).cast("int")), F.lit(',"Protocol(1001)=TCP;SrcPort(1004)=5"'),
+    ).alias("value"))
+
+
+def long_command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System lines with a user, a command and a text around the lengths that are kept."""
+    e = F.col("e")
+    return keyed_events(spark, sf_dir, 1).select(e.alias("msg_id"), F.concat(
+        F.lit("FW-02 %%10SHELL/6/SHELL_CMD: -Line=vty0-IPAddr=10.0.0.1-User="), F.repeat(F.lit("u"), (100 + e % 60).cast("int")),
+        F.lit("; Command is "), F.repeat(F.lit("c"), (150 + e % 100).cast("int")),
+    ).alias("value"))
+
+
+def unknown_key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with several unknown keys, one of them twice, and keys that only look like some."""
+    e = F.col("e")
+    odd = F.when(e % 5 == 0, "x-Odd(7)=1;").when(e % 5 == 1, "No(8)\u00a0=1;").when(e % 5 == 2, "\u2003Wide(9)= w\u3000;").otherwise("")
+    return keyed_events(spark, sf_dir, 1).select(e.alias("msg_id"), F.concat(
+        F.lit("Protocol(1001)=TCP;Foo(1)=a;Bar(2)= b=c ; ;Foo(1)=c"), e, F.lit(";Baz(3)=;"), odd,
+        F.when(e % 7 == 0, "SrcPort(1004)=1;SrcPort(1004)=2").otherwise("SrcPort(1004)= 9"),
+    ).alias("value"))
+
+
+def large_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk requests of a few lines; every 499th is larger than a request may be."""
+    e = F.col("e")
+    filling = F.repeat(F.lit("x"), F.when(e % 499 == 0, 10 * 1024 * 1024 + 1).otherwise(e % 20).cast("int"))
+    body = F.concat(F.lit('{"lines":["Protocol(1001)=TCP","'), filling, F.lit('"]}'))
+    return keyed_events(spark, sf_dir, 1).filter(e % 10 < 9).select(e.alias("request_id"), body.alias("body"))
+
+
+#: Byte sequences put between the halves of a text, and what a decoder makes of them.
+BROKEN = [("", ""), ("C3", "\ufffd"), ("E282", "\ufffd"), ("F09F98", "\ufffd"), ("C0AF", "\ufffd" * 2), ("EDA080", "\ufffd" * 3),
+          ("F4908080", "\ufffd" * 4), ("80FF", "\ufffd" * 2), ("E28241", "\ufffdA"), ("F09F41", "\ufffdA"), ("E0809F", "\ufffd" * 3)]
+
+
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of the documents as bytes, with ill-formed bytes in the middle and blanks around."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    text = F.translate(F.col("text"), "\r\n", "  ")
+    half = F.floor(F.length(text) / 2).cast("int")
+    wrong = F.element_at(F.array(*[F.unhex(F.lit(h)) for h, _ in BROKEN]), (F.col("doc_id") % len(BROKEN) + 1).cast("int"))
+    return docs.select("doc_id", F.concat(
+        F.encode(F.concat(F.lit(" \t"), F.left(text, half)), "utf-8"), wrong,
+        F.encode(F.concat(F.substring(text, half + 1, F.lit(2**31 - 1)), F.lit("\u3000")), "utf-8"),
+    ).alias("value"))

@@ -14,6 +14,7 @@ _KEYED = (
     "k AS (SELECT event_id * 6 + i AS e, user_id AS u, event_type AS t, "
     "CAST(floor(value * 10) AS BIGINT) AS v FROM events, range(6) r(i))"
 )
+_EVENTS = f"WITH {_KEYED.replace('event_id * 6 + i', 'event_id').replace(', range(6) r(i)', '')}"
 _GENERATED = "g AS (SELECT *, " + ", ".join(
     f"{sql} AS {name}" for name, sql in fx.GENERATED.items()
 ) + " FROM k)"
@@ -110,9 +111,11 @@ def _cef_value(c: str) -> str:
     )
 
 
-def _cef_parts():
+def _cef_parts(columns=None):
     labels = vocab.CEF_LABELS
     for column, key in vocab.CEF_KEYS:
+        if columns is not None and column not in columns:
+            continue
         lead = f"{key}Label={labels[key]} {key}=" if key in labels else f"{key}="
         yield _pair(lead, column, _cef_value(f'"{column}"'))
 
@@ -332,9 +335,9 @@ ORACLES = {
     "line_size_gate": "SELECT doc_id, strlen(text) <= 8192 AS fits FROM documents",
     "rate_cap_tumbling": f"{_TRAFFIC} SELECT msg_id, client_ip FROM capped",
     "sender_cap": (
-        f"{_TRAFFIC}, f AS (SELECT client_ip, win, row_number() OVER (PARTITION BY win "
-        "ORDER BY us, msg_id) AS r FROM capped WHERE n = 1) SELECT msg_id, client_ip FROM capped "
-        "WHERE (client_ip, win) IN (SELECT (client_ip, win) FROM f WHERE r <= 3)"
+        f"{_TRAFFIC}, f AS MATERIALIZED (SELECT client_ip AS sender, win AS of_win, row_number() OVER "
+        "(PARTITION BY win ORDER BY us, msg_id) AS r FROM capped WHERE n = 1) SELECT msg_id, client_ip "
+        "FROM capped JOIN f ON client_ip = sender AND win = of_win WHERE r <= 3"
     ),
     "rate_limit_anchored": (
         f"{_TRAFFIC.replace('WITH', 'WITH RECURSIVE', 1)}, a(client_ip, anchor) AS (SELECT client_ip, min(us) FROM m GROUP BY client_ip "
@@ -436,4 +439,40 @@ ORACLES = {
         "FROM documents)"
     ),
     "encrypt_roundtrip": f"{_P} SELECT msg_id, {_CORE} AS message FROM p",
+    "format_unknown_mode": f"{_P} SELECT msg_id, {_CEF} AS message FROM p",
+    "dead_letters_session": (
+        f"WITH {_KEYED} SELECT 'no_recognized_fields' AS reason, 'garbage line ' || e AS raw FROM k WHERE e % 43 = 0"
+    ),
+    "decode_lines": (
+        "SELECT doc_id, length(x) AS chars, md5(x) AS digest FROM (SELECT doc_id, trim("
+        "substr(t, 1, length(t) // 2) || ["
+        + ", ".join(" || ".join(f"chr({ord(c)})" for c in shown) or "''" for _, shown in fx.BROKEN)
+        + f"][doc_id % {len(fx.BROKEN)} + 1] || substr(t, length(t) // 2 + 1), {_BLANKS}) AS x "
+        "FROM (SELECT doc_id, translate(text, chr(13) || chr(10), '  ') AS t FROM documents)) WHERE x <> ''"
+    ),
+    "limit_cef": (
+        f"{_EVENTS}, p AS (SELECT e AS msg_id, 'TCP' AS proto, 'permit' AS action, '(8)Session created' AS event, "
+        "repeat('p', CASE WHEN e % 97 = 0 THEN 65000 + e % 1000 ELSE e % 50 + 1 END) AS policy_name FROM k), "
+        "m AS (SELECT msg_id, substr('CEF:0|H3C|Comware|7.0|SESSION_CREATED|Session Permitted|3|' || concat_ws(' ', "
+        + ", ".join(_cef_parts({"proto", "action", "event", "policy_name"}))
+        + "), 1, 65536) AS x FROM p) SELECT msg_id, length(x) AS chars, md5(x) AS digest FROM m"
+    ),
+    "limit_envelope": (
+        f"{_EVENTS} SELECT e AS msg_id, '<134>' || substr('2026-03-13 10:24:05' || repeat('+', e % 90), 1, 64) || ' ' "
+        "|| substr('h' || repeat('x', 200 + e % 100), 1, 253) || ' h3c-translator: proto=TCP sport=5 action=unknown' AS syslog FROM k"
+    ),
+    "limit_system": (
+        f"{_EVENTS} SELECT e AS msg_id, repeat('u', least(128, 100 + e % 60)) AS \"user\", "
+        "repeat('c', least(200, 150 + e % 100)) AS command, 'SHELL/6/SHELL_CMD: ' || substr("
+        "'-Line=vty0-IPAddr=10.0.0.1-User=' || repeat('u', 100 + e % 60) || '; Command is ' || repeat('c', 150 + e % 100), 1, 200) AS event FROM k"
+    ),
+    "many_unknown_fields": (
+        f"{_EVENTS} SELECT e AS msg_id, CASE WHEN e % 7 = 0 THEN '2' ELSE '9' END AS sport, "
+        "CAST(3 + CASE WHEN e % 5 IN (0, 2) THEN 1 ELSE 0 END AS BIGINT) AS n, 'c' || e AS foo, 'b=c' AS bar, '' AS baz, "
+        "CASE WHEN e % 5 = 0 THEN '1' END AS odd, CASE WHEN e % 5 = 2 THEN 'w' END AS wide FROM k"
+    ),
+    "bulk_too_large": (
+        f"{_EVENTS} SELECT e AS request_id, CAST(CASE WHEN e % 499 = 0 THEN 413 ELSE 200 END AS BIGINT) AS status, "
+        "CAST(CASE WHEN e % 499 = 0 THEN 0 ELSE 2 END AS BIGINT) AS n FROM k WHERE e % 10 < 9"
+    ),
 }

@@ -12,10 +12,10 @@ from fwlog.operators import addresses, admission, delivery, results, stats
 from fwlog.operators.csvlog import parse_csv
 from fwlog.operators.parse import parse
 from fwlog.plans import fixtures as fx
-from fwlog.plans.translate import translate, translate_bulk, translate_csv, translate_single
+from fwlog.plans.translate import format_records, translate, translate_bulk, translate_csv, translate_single
 from fwlog.sinks.writers import dead_letters
 from fwlog.sources import lists, requests
-from fwlog.sources.files import not_blank
+from fwlog.sources.files import decoded, not_blank
 
 # Fixed inputs of the checks.
 DESTINATIONS = "10.10.0.52,10.10.0.53, 10.10.0.54"
@@ -340,6 +340,51 @@ def encrypt_roundtrip(spark, sf_dir):
     return sealed.select("msg_id", crypto.decrypt(F.col("data"), PASSPHRASE).alias("message"))
 
 
+def format_unknown_mode(spark, sf_dir):
+    """A mode nobody knows means CEF."""
+    return format_records(_parsed(spark, sf_dir), "json").select("msg_id", "message")
+
+
+def dead_letters_session(spark, sf_dir):
+    """Dead letters of a log in which most lines are good."""
+    return dead_letters(parse(fx.session_lines(spark, sf_dir)))
+
+
+def decode_lines(spark, sf_dir):
+    lines = fx.broken_lines(spark, sf_dir).select("doc_id", decoded(F.col("value")).alias("value"))
+    return not_blank(lines).select("doc_id", F.length("value").cast("bigint").alias("chars"), F.md5("value").alias("digest"))
+
+
+def limit_cef(spark, sf_dir):
+    done = translate(fx.long_policy_lines(spark, sf_dir), "cef")
+    return done.select("msg_id", F.length("message").cast("bigint").alias("chars"), F.md5("message").alias("digest"))
+
+
+def limit_envelope(spark, sf_dir):
+    done = translate_csv(fx.long_export_lines(spark, sf_dir), "core")
+    return render.add_envelope(done, "core").select("msg_id", "syslog")
+
+
+def limit_system(spark, sf_dir):
+    parsed = parse(fx.long_command_lines(spark, sf_dir))
+    return parsed.select("msg_id", "user", F.col("_command").alias("command"), "event")
+
+
+def many_unknown_fields(spark, sf_dir):
+    parsed = parse(fx.unknown_key_lines(spark, sf_dir))
+    extras = F.col("extras")
+    return parsed.select(
+        "msg_id", "sport", F.size("extras").cast("bigint").alias("n"), extras["_raw_Foo(1)"].alias("foo"),
+        extras["_raw_Bar(2)"].alias("bar"), extras["_raw_Baz(3)"].alias("baz"), extras["_raw_Odd(7)"].alias("odd"),
+        extras["_raw_Wide(9)"].alias("wide"))
+
+
+def bulk_too_large(spark, sf_dir):
+    checked = requests.with_bulk_lines(fx.large_requests(spark, sf_dir))
+    return checked.select(
+        "request_id", F.col("status").cast("bigint").alias("status"), F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -353,5 +398,7 @@ QUERIES = {
         request_status, public_fields, destination_list, fan_out, collector_delivery,
         delivery_stats, logical_delivery, collector_stats, stats_snapshot, count_by_source,
         count_by_port, count_by_action, pattern_extract, delivery_truncate, encrypt_roundtrip,
+        format_unknown_mode, dead_letters_session, decode_lines, limit_cef, limit_envelope, limit_system,
+        many_unknown_fields, bulk_too_large,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +16,15 @@ RAW_SCHEMA = T.StructType([
 ])
 
 
+def decoded(data: Column) -> Column:
+    """Bytes of a line as text: every maximal ill-formed part becomes one replacement character; outer blanks go."""
+    return strip(F.make_valid_utf8(data.cast("string")))
+
+
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """Every physical line, with broken UTF-8 replaced and outer blanks gone."""
     lines = spark.read.text(path)
-    return lines.select(strip(F.make_valid_utf8("value")).alias("value"))
+    return lines.select(decoded(F.col("value")).alias("value"))
 
 
 def not_blank(df: DataFrame, value: str = "value") -> DataFrame:

@@ -7,7 +7,10 @@ from fwlog.plans import fixtures as fx
 from fwlog.plans.translate import translate_live
 from fwlog.sources import lists
 from fwlog.sources.files import not_blank, read_stream
-from fwlog.streaming.admission import admit_anchored_stream, admit_tumbling_stream
+from fwlog.operators.anchored import anchored_reasons
+from fwlog.streaming.admission import (
+    admit_anchored_stream, admit_tumbling_stream, anchored_reasons_stream, tumbling_reasons_stream,
+)
 from fwlog.operators.delivery import delivery_counts, logical_delivery
 from fwlog.streaming import live
 from fwlog.streaming.live import start_delivery, translate_stream
@@ -45,6 +48,53 @@ def test_caps_agree_with_batch(spark):
     assert _ids(spark, admit_anchored_stream(stream), folder, "anchored") == want
 
 
+def _reasons(spark, make, folder, name):
+    query = (
+        make(read_stream(spark, f"{folder}/in")).select("msg_id", "refused", "value").writeStream.format("parquet").outputMode("append")
+        .option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-cp").trigger(availableNow=True).start()
+    )
+    query.awaitTermination(120)
+    return spark.read.parquet(f"{folder}/{name}").collect()
+
+
+def test_stream_caps_give_every_row_a_reason(spark):
+    """Two micro-batches, one hot sender over many chunks, null senders, rows without a time and late ones."""
+    folder, before = tempfile.mkdtemp(prefix="run-"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        i = F.col("id")
+        rows = spark.range(6000).select(
+            i.alias("msg_id"),
+            F.when(i % 53 != 0, F.timestamp_micros(1_700_000_000_000_000 + i * 1300 + F.floor(i / 500) * 800_000)).alias("recv_ts"),
+            F.when(i % 3 == 0, "hot").when(i % 3 == 1, F.concat(F.lit("s"), i % 7)).alias("client_ip"),
+            F.concat(F.lit("m"), i).alias("value"),
+        )
+        late = spark.range(1).select(
+            F.lit(-1).cast("long").alias("msg_id"), F.timestamp_seconds(F.lit(1_600_000_000)).alias("recv_ts"),
+            F.lit("hot").alias("client_ip"), F.lit("m-1").alias("value"))
+        first, second = rows.filter("msg_id < 2500"), rows.filter("msg_id >= 2500").unionByName(late)
+        tumbling, _ = admission.cap_reasons(rows, None, 30, 10**6, 1)
+        wants = {
+            "tumbling": {r.msg_id: r.refused for r in tumbling.collect()},
+            "anchored": {r.msg_id: r.refused for r in anchored_reasons(rows, 30, 1).collect()},
+        }
+        makes = {
+            "tumbling": lambda s: tumbling_reasons_stream(s, 30, 1),
+            "anchored": lambda s: anchored_reasons_stream(s, 30, 1),
+        }
+        got = {}
+        for part in (first, second):
+            part.repartition(3).write.mode("append").parquet(f"{folder}/in")
+            for name, make in makes.items():
+                got[name] = _reasons(spark, make, folder, name)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for name, want in wants.items():
+        assert {r.msg_id: r.refused for r in got[name]} == {**want, -1: "late"}
+        assert len(got[name]) == 6001 and all(r["value"] == f"m{r.msg_id}" for r in got[name])
+        assert sum(v is not None for v in want.values()) > 1000
+
+
 def test_delivery_agrees_with_batch(spark):
     folder = _landed(spark)
     done = translate_stream(read_stream(spark, f"{folder}/in"), "core")
