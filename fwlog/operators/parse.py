@@ -7,8 +7,6 @@ is no shuffle and no Python on this path, and columns nobody asks for are pruned
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +150,7 @@ def _extras() -> Column:
 
 
 def parser_counters() -> list[Column]:
-    """Aggregates over ``reason``; usable in ``agg`` and in ``observe`` (A1)."""
+    """Aggregates over ``reason`` (A1), for ``agg`` or, at a job's end, for ``observe``."""
     reason = F.col("reason")
     return [
         F.count(F.lit(1)).alias("total"),
@@ -161,13 +159,13 @@ def parser_counters() -> list[Column]:
     ]
 
 
-def observed(df: DataFrame, component: str, counters: list[Column]) -> DataFrame:
-    """Running counters of a step, reported to listeners under ``component-…`` (T5).
+def fenced(df: DataFrame, column: str) -> DataFrame:
+    """The same rows, such that filters on ``column`` stay above the step that computes it.
 
-    The step is also where a later filter stops: pushed further down, a filter on a
-    parsed column would repeat the whole chain of patterns inside its condition.
+    Pushed further down, such a filter would repeat the whole chain of patterns inside its
+    condition. Filters on the columns a frame came with still pass, down to the scan.
     """
-    return df.observe(f"{component}-{uuid4().hex}", *counters)
+    return df.select(*[F.explode(F.array(c)).alias(c) if c == column else c for c in df.columns])
 
 
 @once
@@ -268,4 +266,4 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
     df = df.select(*given, *_session_columns())
     for step in _system_steps():
         df = _add(df, step)
-    return observed(df.select(*given, *_record_columns()), "parser", parser_counters())
+    return fenced(df.select(*given, *_record_columns()), "reason")

@@ -67,11 +67,10 @@ def long_rows(df: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
 
 def count_by(parsed: DataFrame, column: str) -> DataFrame:
     """Rows per value of ``src``, ``dport`` or ``action`` (A10); partial counts are
-    made before the shuffle, so a hot value costs one row per task."""
-    return (
-        parsed.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("messages"))
-    )
+    made before the shuffle, so a hot value costs one row per task. Missing values go by
+    their count of 0: a filter on them would repeat the parser inside its condition."""
+    counts = parsed.groupBy(F.col(column).alias("key")).agg(F.count(F.col(column)).alias("messages"))
+    return counts.filter("messages > 0")
 
 
 # Fixed value: the documented pattern over translated lines, and its groups.

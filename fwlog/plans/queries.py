@@ -21,7 +21,6 @@ from fwlog.sources.files import decoded, not_blank
 DESTINATIONS = "10.10.0.52,10.10.0.53, 10.10.0.54"
 ALLOWED = "10.0.0.0/9, 172.16.8.1/20,192.168.1.7,2001:db8::/32, junk"
 TRUSTED = "10.0.0.0/8, 2001:db8::/32, junk"
-PASSPHRASE = "a passphrase for the round trip"
 
 
 def _parsed(spark, sf_dir) -> DataFrame:
@@ -334,10 +333,13 @@ def delivery_truncate(spark, sf_dir):
 
 
 def encrypt_roundtrip(spark, sf_dir):
-    sealed = _message(spark, sf_dir, "core").select(
-        "msg_id", crypto.encrypt(F.col("message"), PASSPHRASE).alias("data")
-    )
-    return sealed.select("msg_id", crypto.decrypt(F.col("data"), PASSPHRASE).alias("message"))
+    """Messages under the keys of five regions, bound to their number."""
+    regions = fx.table(spark, sf_dir, "region")
+    keys = regions.select(F.col("r_name").alias("key_id"), F.unhex(F.sha2(F.concat("r_name", F.lit(":"), "r_regionkey"), 256)).alias("secret"))
+    names = F.lit(["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
+    rows = _message(spark, sf_dir, "core").select("msg_id", "message", F.get(names, (F.col("msg_id") % 5).cast("int")).alias("key_id"))
+    sealed = crypto.encrypt(rows, keys, "message", "data", F.col("key_id"), F.col("msg_id")).drop("message")
+    return crypto.decrypt(sealed, keys, "data", "message", F.col("key_id"), F.col("msg_id")).select("msg_id", "message")
 
 
 def format_unknown_mode(spark, sf_dir):

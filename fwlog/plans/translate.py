@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fwlog.functions.crypto import encrypt
-from fwlog.functions.render import add_envelope, add_message, formatter_counters
-from fwlog.operators.csvlog import parse_csv
-from fwlog.operators.parse import observed, parse
+from fwlog.functions.crypto import DEFAULT_KEY, encrypt, key_table
+from fwlog.functions.render import add_envelope, add_message
+from fwlog.operators.csvlog import is_data, parse_csv
+from fwlog.operators.parse import fenced, parse
 from fwlog.sinks import writers
+from fwlog.session import checkpointed
 from fwlog.sources import files, requests
 
 
 def translate(df: DataFrame, mode: str = "cef", value: str = "value") -> DataFrame:
     """Record columns, ``reason`` and ``message`` for every line; no shuffle."""
-    return observed(add_message(parse(df, value), mode), "formatter", formatter_counters())
+    return fenced(add_message(parse(df, value), mode), "message")
 
 
 def translate_csv(df: DataFrame, mode: str = "cef", every_line: bool = False) -> DataFrame:
     parsed = parse_csv(df, every_line=every_line)
-    return observed(add_message(parsed, mode), "formatter", formatter_counters())
+    return fenced(add_message(parsed, mode), "message")
 
 
 def format_records(records: DataFrame, mode: str = "cef") -> DataFrame:
@@ -41,7 +42,8 @@ def translate_live(
     done = add_envelope(translate(df, mode, value), mode, facility, severity, include_timestamp)
     if passphrase is None:
         return done
-    return done.withColumn("syslog", encrypt(F.col("syslog"), passphrase))
+    keys = key_table(df.sparkSession, {DEFAULT_KEY: passphrase})
+    return encrypt(done, keys, "syslog", "syslog").select(*done.columns)
 
 
 def translate_file(
@@ -49,27 +51,21 @@ def translate_file(
 ) -> DataFrame:
     """Batch translation of a log file or CSV export; returns the line counts (K1, K2, A4).
 
-    The counts are gathered while the text is written, so the input is parsed once
-    for the output and once more only if dead letters are asked for.
+    Every line is parsed once: messages, dead letters and counts are read from one staged
+    table in the shared checkpoint folder.
     """
-    from pyspark.sql import Observation
-
-    seen, written = Observation(), Observation()
-    lines = files.read_lines(spark, path).observe(seen, F.count(F.lit(1)).alias("total"))
+    lines = files.read_lines(spark, path)
     if files.is_csv_path(path):
-        done = translate_csv(lines, mode)
+        done, data = translate_csv(lines, mode, every_line=True), is_data("value")
     else:
-        done = translate(files.not_blank(lines), mode)
-    messages = done.filter(F.col("message").isNotNull()).select("message")
-    writers.write_messages(
-        messages.observe(written, F.count(F.lit(1)).alias("translated")), out
-    )
+        done, data = translate(lines, mode), F.col("value") != ""
+    kept = [c for c in ("value", "raw", "reason", "csv_reason", "message") if c in done.columns]
+    staged = checkpointed(done.select(*kept, data.alias("data")))
+    writers.write_messages(staged, out)
     if dead_letter_path:
-        writers.write_dead_letters(writers.dead_letters(done), dead_letter_path)
-    total, translated = seen.get["total"], written.get["translated"]
-    return spark.createDataFrame(
-        [(total, translated, total - translated)], "total long, translated long, failed long"
-    )
+        writers.write_dead_letters(writers.dead_letters(staged.filter("data").drop("data")), dead_letter_path)
+    total, translated = F.count(F.lit(1)), F.count("message")
+    return staged.agg(total.alias("total"), translated.alias("translated"), (total - translated).alias("failed"))
 
 
 def translate_bulk(request_rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fwlog.functions.crypto import decrypt, encrypt
+from fwlog.functions.crypto import DEFAULT_KEY, decrypt, encrypt, key_table
 from fwlog.functions.text import strip
 
 
@@ -58,8 +58,10 @@ def write_encrypted(
     df: DataFrame, path: str, passphrase: str, message: str = "message", mode: str = "error"
 ) -> None:
     """Encrypted messages at rest (K5)."""
-    df.select(encrypt(F.col(message), passphrase).alias("data")).write.mode(mode).parquet(path)
+    keys = key_table(df.sparkSession, {DEFAULT_KEY: passphrase})
+    encrypt(df.select(message), keys, message, "data").select("data").write.mode(mode).parquet(path)
 
 
 def read_encrypted(spark: SparkSession, path: str, passphrase: str) -> DataFrame:
-    return spark.read.parquet(path).select(decrypt(F.col("data"), passphrase).alias("message"))
+    keys = key_table(spark, {DEFAULT_KEY: passphrase})
+    return decrypt(spark.read.parquet(path), keys, "data", "message").select("message")

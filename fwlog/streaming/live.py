@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,11 @@ from fwlog.plans.translate import translate_live
 from fwlog.sinks import writers
 from fwlog.sources.files import not_blank
 from fwlog.sources.lists import destination_array, is_safe_destination
+from fwlog.streaming.progress import counted
 
 LATE_SECONDS = 3600
+#: Destinations that are sent to at the same time.
+AT_ONCE = 8
 _COUNTS = "__source string, __of bigint, used bigint, newest bigint"
 log = logging.getLogger(__name__)
 
@@ -29,7 +35,7 @@ log = logging.getLogger(__name__)
 def translate_stream(df: DataFrame, mode: str = "cef", **envelope) -> DataFrame:
     """Gate and translate RAW messages; stateless, so it needs no watermark."""
     gated = not_blank(df).filter(admission.fits_line_limit(F.col("value")))
-    return translate_live(gated, mode, **envelope)
+    return counted(translate_live(gated, mode, **envelope))
 
 
 def too_long(df: DataFrame) -> DataFrame:
@@ -102,8 +108,10 @@ def deliver_staged(
     """Delivers one micro-batch.
 
     The rows are computed once, for one table split by ``kind``; everything else reads
-    that table. A destination that fails is logged and counted as failed for each
-    message of the batch; the others get theirs.
+    that table. Destinations get theirs at the same time, each in a folder of its own. A
+    destination that fails is logged and counted as failed for each message of the batch;
+    the others are not held up. Its outcomes are a destination's commit: when a batch is
+    run again, only destinations without a good outcome are sent to.
     """
     spark = staged.sparkSession
     own = f"batch={number}"
@@ -111,16 +119,25 @@ def deliver_staged(
     schema = "msg_id bigint, reason string, text string, kind string"
     table = spark.read.schema(schema).parquet(f"{out}/staged/{own}")
     messages = table.filter("kind = 'message'")
-    outcomes = []
-    for destination in _safe_destinations(spark, destinations):
+
+    def deliver(place: int, destination: str) -> None:
+        done = f"{out}/outcomes/{own}/to={place}"
+        if _was_sent(spark, done):
+            return
         try:
-            send(messages, destination, f"{out}/delivered/{own}")
+            send(messages, destination, f"{out}/delivered/{own}/to={place}")
             ok = True
         except Exception:  # one destination must not stop the others; its failure is counted
             log.exception("delivery of batch %d to %s failed", number, destination)
             ok = False
-        outcomes.append(F.struct(F.lit(destination).alias("vector"), F.lit(ok).alias("ok")))
-    messages.select("msg_id", F.inline(F.array(*outcomes))).write.mode("overwrite").parquet(f"{out}/outcomes/{own}")
+        outcome = messages.select("msg_id", F.lit(destination).alias("vector"), F.lit(ok).alias("ok"))
+        outcome.write.mode("overwrite").parquet(done)
+        if ok:
+            spark.range(1).write.mode("overwrite").parquet(f"{done}/_sent")
+
+    names = _safe_destinations(spark, destinations)
+    with ThreadPoolExecutor(max(1, min(len(names), AT_ONCE))) as pool:
+        list(pool.map(inheritable_thread_target(deliver), range(len(names)), names))
     counts = table.groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
     counts.write.mode("overwrite").parquet(f"{out}/counts/{own}")
     if dead_letter_path:
@@ -128,6 +145,14 @@ def deliver_staged(
         writers.write_dead_letters(dead, f"{dead_letter_path}/{own}", mode="overwrite")
 
 
+def _was_sent(spark: SparkSession, done: str) -> bool:
+    """Whether a destination has its good outcome; ``_sent`` is written last and is no data to other readers."""
+    try:
+        return spark.read.schema("id bigint").parquet(f"{done}/_sent").count() > 0
+    except AnalysisException:
+        return False
+
+
 def live_counters(spark: SparkSession, out: str) -> DataFrame:
     """Counters of all batches so far: ``component metric value`` (A1-A3, T5)."""
     parts = spark.read.parquet(f"{out}/counts")
@@ -154,7 +179,8 @@ def live_counters(spark: SparkSession, out: str) -> DataFrame:
 
 def delivery_outcomes(spark: SparkSession, out: str) -> DataFrame:
     """The delivery log ``(msg_id, vector, ok)`` of all batches so far."""
-    return spark.read.parquet(f"{out}/outcomes").select("msg_id", "vector", "ok")
+    schema = "msg_id bigint, vector string, ok boolean"
+    return spark.read.schema(schema).parquet(f"{out}/outcomes").select("msg_id", "vector", "ok")
 
 
 def start_delivery(
@@ -188,35 +214,35 @@ def start_intake(
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()  # read for the cuts and for the rows
-        try:
-            before = None
-            newest = None
-            if number > 0:
-                before = spark.read.schema(_COUNTS).parquet(f"{checkpoint}/counts/{(number - 1) % 2}")
-                newest = before.agg(F.max("newest")).first()[0]
-                before = before.filter(F.col("__of").isNotNull()).drop("newest")
-            micros = F.unix_micros("recv_ts")
-            oldest = None if newest is None else newest - late_seconds * 1_000_000
-            late = F.lit(False) if oldest is None else F.coalesce(micros < oldest, F.lit(False))
-            rows, counts = admission.cap_reasons(
-                batch.filter(~late), before, per_source, max_sources, seconds, start_micros)
-            rows = rows.unionByName(batch.filter(late).withColumn("refused", F.lit("late")))
-            deliver_staged(
-                staged_rows(gate_reasons(rows, networks), mode, **envelope),
-                number, out, destinations, dead_letter_path, send)
-            latest = batch.agg(F.max(micros)).first()[0]
-            latest = max([x for x in (newest, latest) if x is not None], default=None)
-            if latest is not None:
-                ends = start_micros + (F.col("__of") + 1) * seconds * 1_000_000
-                counts = counts.filter(ends > latest - late_seconds * 1_000_000)
-            mark = spark.range(1).select(
-                F.lit(None).cast("string").alias("__source"), F.lit(None).cast("bigint").alias("__of"),
-                F.lit(None).cast("bigint").alias("used"), F.lit(latest).cast("bigint").alias("newest"))
-            counts = counts.withColumn("newest", F.lit(None).cast("bigint")).unionByName(mark)
-            counts.write.mode("overwrite").parquet(f"{checkpoint}/counts/{number % 2}")
-        finally:
-            batch.unpersist()
+        # read for the cuts and for the rows; the batch before may still be needed
+        raw_copy, schema = f"{checkpoint}/raw/{number % 2}", batch.schema
+        batch.write.mode("overwrite").parquet(raw_copy)
+        batch = spark.read.schema(schema).parquet(raw_copy)
+        before = None
+        newest = None
+        if number > 0:
+            before = spark.read.schema(_COUNTS).parquet(f"{checkpoint}/counts/{(number - 1) % 2}")
+            newest = before.agg(F.max("newest")).first()[0]
+            before = before.filter(F.col("__of").isNotNull()).drop("newest")
+        micros = F.unix_micros("recv_ts")
+        oldest = None if newest is None else newest - late_seconds * 1_000_000
+        late = F.lit(False) if oldest is None else F.coalesce(micros < oldest, F.lit(False))
+        rows, counts = admission.cap_reasons(
+            batch.filter(~late), before, per_source, max_sources, seconds, start_micros)
+        rows = rows.unionByName(batch.filter(late).withColumn("refused", F.lit("late")))
+        deliver_staged(
+            staged_rows(gate_reasons(rows, networks), mode, **envelope),
+            number, out, destinations, dead_letter_path, send)
+        latest = batch.agg(F.max(micros)).first()[0]
+        latest = max([x for x in (newest, latest) if x is not None], default=None)
+        if latest is not None:
+            ends = start_micros + (F.col("__of") + 1) * seconds * 1_000_000
+            counts = counts.filter(ends > latest - late_seconds * 1_000_000)
+        mark = spark.range(1).select(
+            F.lit(None).cast("string").alias("__source"), F.lit(None).cast("bigint").alias("__of"),
+            F.lit(None).cast("bigint").alias("used"), F.lit(latest).cast("bigint").alias("newest"))
+        counts = counts.withColumn("newest", F.lit(None).cast("bigint")).unionByName(mark)
+        counts.write.mode("overwrite").parquet(f"{checkpoint}/counts/{number % 2}")
 
     return _start(raw, run, checkpoint, trigger)
 

@@ -1,8 +1,9 @@
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
-from fwlog.operators import admission
+from fwlog.operators import admission, stats
 from fwlog.plans import fixtures as fx
 from fwlog.plans.translate import translate_live
 from fwlog.sources import lists
@@ -14,6 +15,7 @@ from fwlog.streaming.admission import (
 from fwlog.operators.delivery import delivery_counts, logical_delivery
 from fwlog.streaming import live
 from fwlog.streaming.live import start_delivery, translate_stream
+from fwlog.streaming.progress import CounterListener
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -192,3 +194,46 @@ def test_intake_agrees_with_batch_over_several_batches(spark):
     assert counters["formatted"] == len(sent) and counters["late"] == 1
     assert counters["source_cap"] == sum(v == "source_cap" for v in caps.values())
     assert spark.read.text(f"{folder}/dead").count() == counters["failed"]
+
+
+def test_only_failed_destinations_are_sent_again(spark):
+    folder, calls = tempfile.mkdtemp(prefix="run-"), []
+    staged = spark.createDataFrame(
+        [(i, "message" if i % 3 else "dead", None if i % 3 else "no_recognized_fields", f"t{i}") for i in range(30)],
+        "msg_id long, kind string, reason string, text string").coalesce(1)
+
+    def send(messages, destination, to):
+        calls.append(destination)
+        if destination == "b" and calls.count("b") == 1:
+            raise OSError("refused")
+        live.write_destination(messages, destination, to)
+
+    for want in ({"a": 20, "b": 0, "c": 20}, {"a": 20, "b": 20, "c": 20}):
+        live.deliver_staged(staged, 0, folder, "a, b, c", None, send)
+        sent = {r.vector: r.sent for r in delivery_counts(live.delivery_outcomes(spark, folder)).collect()}
+        assert sent == want
+    assert sorted(calls) == ["a", "b", "b", "c"]
+    assert spark.read.text(f"{folder}/delivered").groupBy("destination").count().collect()[0]["count"] == 20
+
+
+def test_listener_counts_a_batch_once(spark):
+    listener = CounterListener()
+    spark.streams.addListener(listener)
+    try:
+        folder = _landed(spark)
+        done = translate_stream(read_stream(spark, f"{folder}/in", 1), "core")
+        start_delivery(done, f"{folder}/out", "a", f"{folder}/cp").awaitTermination(120)
+        batch = translate_live(not_blank(spark.read.parquet(f"{folder}/in")), "core")
+        want = stats.parser_stats(batch).first().asDict()
+        for _ in range(100):
+            if listener.totals.get("parser", {}).get("total") == want["total"]:
+                break
+            time.sleep(0.2)
+        assert listener.totals["parser"] == want
+        rows = {(r.component, r.metric): r.value for r in listener.rows(spark).collect()}
+        assert rows["formatter", "formatted"] == stats.formatter_stats(batch).first()["formatted"]
+    finally:
+        spark.streams.removeListener(listener)
+    assert set(listener.last_batch.values()) == {1}
+    again = CounterListener(listener.totals, listener.last_batch)
+    assert again.totals == listener.totals
