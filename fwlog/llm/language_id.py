@@ -42,7 +42,7 @@ ORDER = 4
 #: Training texts of a language and length octave that make a limit of their own.
 LEAST_TEXTS = 20
 #: Bytes of text that are scored together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of text that are cut into n-grams at once.
 PART_BYTES = 1 << 20
 #: n-grams a task holds before it passes its counts on.
