@@ -40,14 +40,12 @@ MARKER_TAIL = rf"%%{DIGIT}{{1,4}}{WS}*\z"
 MODULE = rf"^{_MODULE}"
 # Key(n)=value. The look-behind keeps the scan linear on hostile text.
 _LETTER = "[A-Za-z_]"
-_KEY = rf"{_LETTER}++\({DIGIT}++\)="
-FIELD = rf"(?<!{_LETTER})({_LETTER}+\({DIGIT}+\)=)([^;]*)"
-# what stands before the values of a line whose segments are empty or start with a key
-REGULAR = rf"^(?:;|{_KEY};)*+$"
+FIELD = rf"(?<!{_LETTER})({_LETTER}+\({DIGIT}+\)=){WS}*+([^;]*?){WS}*(?=;|\z)"
+# keys, one after the other
+KEYS = rf"^(?:{_LETTER}++\({DIGIT}++\)=)*+$"
 
 # Keys are kept with their equals sign.
 _COLUMN_KEYS = {column: key + "=" for key, column in vocab.FIELD_COLUMNS.items()}
-_PLAIN_COLUMNS = [c for c in vocab.SESSION_COLUMNS if c not in vocab.ADDRESS_COLUMNS]
 # Record columns that a system log may fill as well.
 _SHARED = ("proto", "category", "event", "user", "src", "dst", "app")
 _TEMP = "__"
@@ -112,8 +110,13 @@ def header_columns() -> dict[str, Column]:
     }
 
 
+def _place(key: str) -> str:
+    """Place of a key among ``__ids``, from 0; -1 if it is not there. Comparing numbers is cheaper than texts."""
+    return f"CAST(array_position({_TEMP}ids, xxhash64({sql_text(key)})) AS INT) - 1"
+
+
 def _last_value(key: str) -> Column:
-    return F.expr(f"get({_TEMP}vals, CAST(array_position({_TEMP}keys, {sql_text(key)}) AS INT) - 1)")
+    return F.expr(f"get({_TEMP}vals, {_place(key)})")
 
 
 def _usable(value: Column) -> Column:
@@ -137,10 +140,9 @@ def _last_address(column: str) -> Column:
 @once
 def _extras() -> Column:
     """Unknown keys with their last value."""
-    known = F.expr(sql_array(["", *_COLUMN_KEYS.values()]))
     return F.map_from_entries(
         F.transform(
-            F.array_except(_t("keys"), known),
+            F.array_except(_t("keys"), _known_keys()),
             lambda k: F.struct(
                 F.concat(F.lit(vocab.UNKNOWN_KEY_PREFIX), F.rtrim(k, F.lit("="))),
                 F.get(_t("vals"), F.array_position(_t("keys"), k).cast("int") - 1),
@@ -149,6 +151,10 @@ def _extras() -> Column:
     )
 
 
+def _known_keys() -> Column:
+    return F.expr(sql_array(["", *_COLUMN_KEYS.values()]))
+
+
 def parser_counters() -> list[Column]:
     """Aggregates over ``reason`` (A1), for ``agg`` or, at a job's end, for ``observe``."""
     reason = F.col("reason")
@@ -168,85 +174,88 @@ def fenced(df: DataFrame, column: str) -> DataFrame:
     return df.select(*[F.explode(F.array(c)).alias(c) if c == column else c for c in df.columns])
 
 
+def _plain(text: Column) -> Column:
+    """Whether a text is ASCII without control characters, so that its only blanks are spaces."""
+    return (F.length(text) == F.octet_length(text)) & ~F.rlike(text, F.lit(r"[\x00-\x1f]"))
+
+
 @once
 def _pair_steps() -> list[list[Column]]:
     """P5: reversed keys (with their equals sign) and values, so that the first hit is the last occurrence.
 
-    A payload is split at its semicolons, and one test over all that stands before the values
-    tells whether every segment starts with a key. Only other payloads are searched for keys.
+    A payload is split at its semicolons. If every segment is empty or starts with a key, the
+    pieces before and after its first equals sign are the pairs: pieces that are no known key
+    are tested, all at once. Only other payloads are searched for keys.
     """
-    segments = F.reverse(F.split(_t("payload"), ";"))
+    fields = F.contains(_t("payload"), F.lit(")="))
+    end = F.lit(2**31 - 1)
     heads = F.transform(_t("segments"), lambda s: F.trim(F.left(s, F.locate("=", s))))
-    none = F.array().cast("array<string>")
-    searched = {
-        n: F.reverse(F.regexp_extract_all(_t("payload"), F.lit(FIELD), F.lit(g))) for n, g in (("keys", 1), ("vals", 2))
+    tails = F.transform(_t("segments"), lambda s: F.trim(F.substring(s, F.locate("=", s) + 1, end)))
+    found = {
+        n: F.reverse(F.regexp_extract_all(_t("payload"), F.lit(FIELD), F.lit(g))) for n, g in (("heads", 1), ("tails", 2))
     }
-    fields = F.contains(_t("payload"), F.lit(")="))
-    values = F.transform(_t("segments"), lambda s: F.trim(F.substring(s, F.locate("=", s) + 1, F.lit(2**31 - 1))))
+    none = F.array().cast("array<string>")
+    unknown = F.array_join(F.array_except(_t("heads"), _known_keys()), "")
     last = {f"last_{c}": _last_value(_COLUMN_KEYS[c]) for c in vocab.ADDRESS_COLUMNS}
     return [
-        _named(segments=F.when(fields, segments)),
-        _named(heads=heads),
-        # blanks other than spaces make a payload irregular as well
-        _named(regular=F.rlike(F.concat(F.array_join("__heads", ";"), F.lit(";")), F.lit(REGULAR)) & _plain(_t("payload"))),
+        _named(segments=F.when(fields, F.reverse(F.split(_t("payload"), ";")))),
+        _named(heads=heads, tails=tails),
+        _named(unknown=unknown),
+        _named(regular=((_t("unknown") == "") | F.rlike(_t("unknown"), F.lit(KEYS))) & _plain(_t("payload"))),
         _named(
-            keys=F.when(_t("regular"), _t("heads")).when(fields, searched["keys"]).otherwise(none),
-            vals=F.when(_t("regular"), values).when(fields, F.transform(searched["vals"], strip)).otherwise(none),
+            keys=F.when(_t("regular"), _t("heads")).when(fields, found["heads"]).otherwise(none),
+            vals=F.when(_t("regular"), _t("tails")).when(fields, found["tails"]).otherwise(none),
         ),
+        _named(ids=F.transform(_t("keys"), lambda k: F.xxhash64(k))),
         _named(**last),
     ]
 
 
-def _plain(text: Column) -> Column:
-    """Whether a text has no blanks but spaces, none of them beyond ASCII."""
-    return F.rlike(text, F.lit(r"^[\x20-\x7e]*+$"))
-
-
 @once
-def _session_columns() -> list[Column]:
-    """P6 and the header, all read from the pairs and the header pieces."""
-    values = [
-        (_last_address(c) if c in vocab.ADDRESS_COLUMNS else _last_value(_COLUMN_KEYS[c])).alias(c)
-        for c in vocab.SESSION_COLUMNS
-    ]
-    heads = [c.alias(n) for n, c in header_columns().items()]
-    kept = [_t(c) for c in ("line", "payload", "keys", "vals")]
-    return [*kept, *heads, *values]
+def _address_columns() -> list[Column]:
+    return [_last_address(c).alias(c) for c in vocab.ADDRESS_COLUMNS]
 
 
 @once
 def _system_steps() -> list[list[Column]]:
-    """P11-P20 for lines without a recognised field whose module has a slash."""
+    """P11-P20 for lines without a recognised field whose module has a slash.
+
+    They come before the record's other columns, while the rows are narrow.
+    """
+    plain_keys = sql_array([_COLUMN_KEYS[c] for c in vocab.SESSION_COLUMNS if c not in vocab.ADDRESS_COLUMNS])
+    known = F.when(F.expr(_place(_COLUMN_KEYS["proto"]) + " >= 0"), True).otherwise(
+        F.coalesce(F.expr(f"arrays_overlap({_TEMP}keys, {plain_keys})"), F.lit(False)))
     any_address = F.coalesce(*[F.col(c) for c in vocab.ADDRESS_COLUMNS]).isNotNull()
-    gate = ~_t("found") & F.contains(F.col("_module"), F.lit("/"))
-    detail = syslogs.details(_t("kind"), F.col("_module"), _t("text"))
+    gate = ~_t("found") & F.contains(_t("module"), F.lit("/"))
+    detail = syslogs.details(_t("kind"), _t("module"), _t("text"))
     return [
-        _named(found=F.coalesce(*[F.col(c) for c in _PLAIN_COLUMNS]).isNotNull() | any_address),
+        _named(found=known | any_address, module=header_columns()["_module"]),
         _named(text=F.when(gate, strip(_t("payload")))),
         _named(kind=F.when(_t("text").isNotNull(), syslogs.kind(_t("text")))),
-        _named(sys=F.when(_t("kind").isNotNull(), detail)),
+        _named(sys=F.when(_t("kind").isNotNull(), detail), **{c: _last_value(_COLUMN_KEYS[c]) for c in ("fw_action", "event")}),
+        _named(action=F.when(
+            _t("sys").isNotNull() | _t("found"),
+            F.coalesce(_t("sys")["action"], session_action(_t("fw_action"), _t("event"))),
+        )),
     ]
 
 
 @once
 def _record_columns() -> list[Column]:
+    """P6 and the header, all read from the pairs, the header pieces and the system record."""
     reason = (
         F.when(_t("line").isNull() | (_t("line") == ""), "empty_line")
         .when(~_t("found") & _t("sys").isNull(), "no_recognized_fields")
     )
-    action = F.when(
-        _t("sys").isNotNull() | _t("found"),
-        F.coalesce(_t("sys")["action"], session_action(F.col("fw_action"), F.col("event"))),
-    )
+    sys, heads = _t("sys"), header_columns()
+    ready = {c: F.col(c) for c in vocab.ADDRESS_COLUMNS} | {c: _t(c) for c in ("fw_action", "event")}
+    values = {c: ready[c] if c in ready else _last_value(_COLUMN_KEYS[c]) for c in vocab.SESSION_COLUMNS}
     return [
-        *[
-            F.coalesce(F.col(c), _t("sys")[c]).alias(c) if c in _SHARED else F.col(c)
-            for c in vocab.SESSION_COLUMNS
-        ],
-        F.col("hostname"),
-        action.alias("action"),
-        *[F.col(c) for c in vocab.HEADER_COLUMNS],
-        *[_t("sys")[c].alias(c) for c in vocab.SYSTEM_COLUMNS],
+        *[(F.coalesce(v, sys[c]) if c in _SHARED else v).alias(c) for c, v in values.items()],
+        heads["hostname"].alias("hostname"),
+        _t("action").alias("action"),
+        *[_t("module").alias(c) if c == "_module" else heads[c].alias(c) for c in vocab.HEADER_COLUMNS],
+        *[sys[c].alias(c) for c in vocab.SYSTEM_COLUMNS],
         _extras().alias("extras"),
         reason.alias("reason"),
         F.lit(None).cast("string").alias("_csv_timestamp"),
@@ -261,9 +270,9 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
     """
     given = df.columns
     df = _add(df, _named(line=strip(F.col(value))))
-    for step in _header_steps() + _pair_steps():
-        df = _add(df, step)
-    df = df.select(*given, *_session_columns())
-    for step in _system_steps():
+    for step in _header_steps() + _pair_steps() + [_address_columns()] + _system_steps():
         df = _add(df, step)
+    # kept apart from the record's columns, which would each repeat the system patterns
+    df = fenced(df, f"{_TEMP}sys")
     return fenced(df.select(*given, *_record_columns()), "reason")
+
