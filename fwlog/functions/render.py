@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fwlog import vocab
 from fwlog.functions.actions import event_code
 from fwlog.functions.memo import once
-from fwlog.functions.text import CONTROL, lookup, rstrip, sql_array
+from fwlog.functions.text import CONTROL, lookup, rstrip, sql_array, sql_text
 
 _CONTROL_CHARS = "".join(map(chr, [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F]))
 
@@ -39,23 +39,27 @@ def clean_cef_value(c: Column) -> Column:
     return F.replace(c, F.lit("\r"), F.lit("\\n"))
 
 
-def _shown(columns) -> Column:
-    """Output values in order; null for absent, empty and placeholder."""
-    return F.expr(
-        "array("
-        + ", ".join(f"CASE WHEN `{c}` NOT IN ('', '--') THEN `{c}` END" for c in columns)
-        + ")"
-    )
+def _shown(column: str) -> str:
+    """Output value; null for absent, empty and placeholder."""
+    return f"CASE WHEN `{column}` NOT IN ('', '--') THEN `{column}` END"
+
+
+def _joined(separator: str, leads, columns) -> Column:
+    """The output values behind their leads, as they are."""
+    pairs = (f"concat({sql_text(lead)}, {_shown(c)})" if lead else _shown(c) for lead, c in zip(leads, columns))
+    return F.expr(f"concat_ws({sql_text(separator)}, {', '.join(pairs)})")
 
 
-def _with_leads(leads, values: Column) -> Column:
-    return F.zip_with(F.expr(sql_array(leads)), values, lambda lead, v: F.concat(lead, v))
+def _cleaned(separator: str, leads, columns, clean) -> Column:
+    """The output values behind their leads, each cleaned; for the few records that need it."""
+    shown = F.expr(f"array({', '.join(map(_shown, columns))})")
+    pairs = F.zip_with(F.expr(sql_array(leads)), F.transform(shown, clean), lambda lead, v: F.concat(lead, v))
+    return F.concat_ws(separator, pairs)
 
 
 def _staged(df: DataFrame, columns) -> DataFrame:
-    """The output values as one array column, then their joined text, each computed once."""
-    df = df.select("*", _shown(columns).alias("__shown"))
-    return df.select("*", F.concat_ws("", "__shown").alias("__joined"))
+    """The output values as one text, which tells whether there are any and whether they are clean."""
+    return df.select("*", _joined("", [""] * len(columns), columns).alias("__joined"))
 
 
 def _formattable() -> Column:
@@ -65,13 +69,13 @@ def _formattable() -> Column:
 @once
 def _key_values(columns: tuple) -> Column:
     """``k=v`` pairs in the given order, null when the record has no ``proto``."""
-    shown, leads = F.col("__shown"), [f"{c}=" for c in columns]
+    leads = [f"{c}=" for c in columns]
     dirty = F.rlike("__joined", F.lit(r"[\x00-\x1f\x7f;=]"))
     # In a clean record only blanks change, so the joiner can be any control
     # character and the blanks of the whole text are replaced at once.
-    quick = F.concat_ws("\x01", _with_leads(leads, shown))
+    quick = _joined("\x01", leads, columns)
     quick = F.replace(F.replace(quick, F.lit(" "), F.lit("_")), F.lit("\x01"), F.lit(" "))
-    careful = F.concat_ws(" ", _with_leads(leads, F.transform(shown, clean_kv)))
+    careful = _cleaned(" ", leads, columns, clean_kv)
     return F.when(_formattable(), F.when(dirty, careful).otherwise(quick))
 
 
@@ -99,15 +103,16 @@ def _cef_leads():
 @once
 def _cef() -> Column:
     """Full CEF message, null when the record has no ``proto`` or no value."""
-    action, shown = F.coalesce(F.col("action"), F.lit("unknown")), F.col("__shown")
+    action = F.coalesce(F.col("action"), F.lit("unknown"))
     dirty = F.rlike("__joined", F.lit(rf"[{CONTROL}\\=\n\r]"))
-    values = F.when(dirty, F.transform(shown, clean_cef_value)).otherwise(shown)
+    leads, columns = list(_cef_leads()), [c for c, _ in vocab.CEF_KEYS]
+    values = F.when(dirty, _cleaned(" ", leads, columns, clean_cef_value)).otherwise(_joined(" ", leads, columns))
     message = F.concat(
         F.lit(vocab.CEF_PREFIX),
         clean_cef_header(cef_signature(F.col("event"), action)), F.lit("|"),
         cef_event_name(action), F.lit("|"),
         cef_severity(action).cast("string"), F.lit("|"),
-        F.concat_ws(" ", _with_leads(_cef_leads(), values)),
+        values,
     )
     return F.when(_formattable(), F.substring(message, 1, vocab.CEF_MAX_CHARS))
 
