@@ -253,3 +253,39 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five in a hundred of the documents, by their likeness to the benchmark texts."""
     docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLE = r"""
+WITH polynomial AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM range(256) r(i)
+), texts AS (
+  SELECT true AS source, row_number() OVER () AS row, doc_id, text FROM documents
+  UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark
+), worded AS (
+  SELECT source, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT source, row, unnest(
+    w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+      || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f
+  FROM worded
+), counted AS (SELECT source, row, f, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT f, xor(4294967295, list_reduce([4294967295] || list_transform(range(octet_length(encode(f))),
+    lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted), polynomial
+), bucketed AS (SELECT source, row, bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (f) GROUP BY ALL
+), shares AS (
+  SELECT bucket, coalesce(sum(n) FILTER (source), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT source), 0)::DOUBLE AS t FROM bucketed GROUP BY bucket
+), totals AS (SELECT sum(s) + 10000 AS s_all, sum(t) + 10000 AS t_all FROM shares
+), gain AS (SELECT bucket, floor(1000 * ln((t + 1) * s_all / ((s + 1) * t_all)))::BIGINT AS g FROM shares, totals
+), weights AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM bucketed JOIN gain USING (bucket) WHERE source GROUP BY row
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM worded LEFT JOIN weights USING (row) WHERE source
+), placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored
+), able AS (SELECT count(*) * 5 // 100 AS drawn FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM placed, able
+"""

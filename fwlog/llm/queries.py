@@ -1,6 +1,6 @@
 """Queries of this package by name, and the SQL of those that SQL can express."""
 
-from fwlog.llm import filter_audit, source_mixing, topk_search, url_reputation, warc_revisit
+from fwlog.llm import filter_audit, importance_resampling, source_mixing, topk_search, url_reputation, warc_revisit
 from fwlog.llm.collision_search import op13_nearest_neighbours
 from fwlog.llm.embedding_dedup import op10_embedding_dedup
 from fwlog.llm.filter_audit import op11_filter_audit
@@ -26,6 +26,7 @@ QUERIES = {
 
 ORACLES = {
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_importance_resampling": importance_resampling.ORACLE,
     "op2_url_reputation": url_reputation.ORACLE,
     "op3_warc_revisit": warc_revisit.ORACLE,
     "op7_exact_topk": topk_search.ORACLE,
