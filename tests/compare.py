@@ -24,7 +24,8 @@ def connect(sf_dir: str):
 
 
 def _rows(frame, columns):
-    frame = frame[columns].astype(object)
+    # whole numbers with nulls come as floats from one side and as integers from the other
+    frame = frame[columns].convert_dtypes(convert_string=False, convert_boolean=False).astype(object)
     return sorted(map(repr, frame.where(frame.notna(), None).itertuples(index=False, name=None)))
 
 
