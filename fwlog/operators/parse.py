@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fwlog import vocab
 from fwlog.functions.actions import session_action
 from fwlog.functions.memo import once
 from fwlog.functions.net import is_address
 from fwlog.functions.text import (
-    DIGIT, NWS, WS, after, extract, none_if_empty, sql_array, sql_text, strip,
+    DIGIT, NWS, WS, after, apart, extract, none_if_empty, sql_array, strip,
 )
 from fwlog.operators import syslogs
 
@@ -40,12 +41,19 @@ MARKER_TAIL = rf"%%{DIGIT}{{1,4}}{WS}*\z"
 MODULE = rf"^{_MODULE}"
 # Key(n)=value. The look-behind keeps the scan linear on hostile text.
 _LETTER = "[A-Za-z_]"
-FIELD = rf"(?<!{_LETTER})({_LETTER}+\({DIGIT}+\)=){WS}*+([^;]*?){WS}*(?=;|\z)"
-# keys, one after the other
-KEYS = rf"^(?:{_LETTER}++\({DIGIT}++\)=)*+$"
-
-# Keys are kept with their equals sign.
-_COLUMN_KEYS = {column: key + "=" for key, column in vocab.FIELD_COLUMNS.items()}
+FIELD = rf"(?<!{_LETTER})({_LETTER}+\({DIGIT}+\))={WS}*+([^;]*?){WS}*(?=;|\z)"
+# The same pairs of an ASCII payload whose segments all start with a key or have no equals sign.
+_PAIR = rf" *+({_LETTER}++\([0-9]++\))=([^;]*+)"
+REGULAR = rf"^(?:(?:{_PAIR}|[^;=]*+)(?:;|\z))*+\z"
+SEGMENT = rf"(?:{_PAIR}|[^;]*+)(?:;|\z)"
+REGULAR_FIELD = rf"(?<![^;]){_PAIR}"
+# Payloads longer than this are searched: a JSON reader takes no name above 50 000 characters.
+REGULAR_MAX_BYTES = 50_000
+NAME_MAX_CHARS = 1_000
+
+_COLUMN_KEYS = {column: key for key, column in vocab.FIELD_COLUMNS.items()}
+_FIELD_TYPE = T.StructType([T.StructField(key, T.StringType()) for key in vocab.FIELD_COLUMNS])
+_JSON = {"allowUnquotedControlChars": "true", "maxStringLen": str(2**31 - 1)}
 # Record columns that a system log may fill as well.
 _SHARED = ("proto", "category", "event", "user", "src", "dst", "app")
 _TEMP = "__"
@@ -71,7 +79,7 @@ def _header_steps() -> list[list[Column]]:
     none = F.lit("")
     return [
         _named(prefix=extract(_t("line"), PREFIX, 0)),
-        _named(rest=after(_t("line"), _t("prefix"))),
+        _named(rest=after(_t("line"), _t("prefix")), blank=_t("line").isNull() | (_t("line") == "")),
         _named(header=F.when(marked, extract(_t("rest"), HEADER, 0)).otherwise(none)),
         _named(marker=F.when(no_header, extract(_t("rest"), MARKER, 0)).otherwise(none)),
         _named(
@@ -110,13 +118,8 @@ def header_columns() -> dict[str, Column]:
     }
 
 
-def _place(key: str) -> str:
-    """Place of a key among ``__ids``, from 0; -1 if it is not there. Comparing numbers is cheaper than texts."""
-    return f"CAST(array_position({_TEMP}ids, xxhash64({sql_text(key)})) AS INT) - 1"
-
-
-def _last_value(key: str) -> Column:
-    return F.expr(f"get({_TEMP}vals, {_place(key)})")
+def _value(column: str) -> str:
+    return f"value_{column}"
 
 
 def _usable(value: Column) -> Column:
@@ -126,15 +129,24 @@ def _usable(value: Column) -> Column:
 def _last_address(column: str) -> Column:
     """Last occurrence that is empty or a valid address.
 
-    ``__last_<column>`` holds the last occurrence; only a line where that one is
+    ``__value_<column>`` holds the last occurrence; only a line where that one is
     invalid looks at the earlier ones.
     """
-    key, last = _COLUMN_KEYS[column], _t(f"last_{column}")
-    kept = F.filter(
-        F.arrays_zip(_t("keys").alias("k"), _t("vals").alias("v")),
-        lambda p: (p["k"] == key) & _usable(p["v"]),
-    )
-    return F.when(last.isNull() | _usable(last), last).otherwise(F.get(kept, 0)["v"])
+    key, last = _COLUMN_KEYS[column], _t(_value(column))
+    own = rf"(?<![^;]) *+\Q{key}\E=([^;]*+)"
+    named = F.filter(F.arrays_zip(_t("heads").alias("k"), _t("tails").alias("v")), lambda p: p["k"] == key)
+    all_values = F.when(_t("regular"), F.regexp_extract_all(_t("payload"), F.lit(own), F.lit(1))).otherwise(named["v"])
+    kept = F.filter(F.transform(all_values, lambda v: F.trim(v)), _usable)
+    return F.when(last.isNull() | _usable(last), last).otherwise(F.get(F.reverse(kept), 0))
+
+
+def _key_columns() -> list[Column]:
+    """``__keys`` and ``__vals``: all pairs, last occurrence first; for unknown keys only."""
+    def found(group, searched):
+        regular = F.regexp_extract_all(_t("payload"), F.lit(REGULAR_FIELD), F.lit(group))
+        return F.reverse(F.when(_t("regular"), regular).otherwise(F.coalesce(_t(searched), F.array().cast("array<string>"))))
+
+    return _named(keys=found(1, "heads"), vals=found(2, "tails"))
 
 
 @once
@@ -144,15 +156,15 @@ def _extras() -> Column:
         F.transform(
             F.array_except(_t("keys"), _known_keys()),
             lambda k: F.struct(
-                F.concat(F.lit(vocab.UNKNOWN_KEY_PREFIX), F.rtrim(k, F.lit("="))),
-                F.get(_t("vals"), F.array_position(_t("keys"), k).cast("int") - 1),
+                F.concat(F.lit(vocab.UNKNOWN_KEY_PREFIX), k),
+                F.trim(F.get(_t("vals"), F.array_position(_t("keys"), k).cast("int") - 1)),
             ),
         )
     )
 
 
 def _known_keys() -> Column:
-    return F.expr(sql_array(["", *_COLUMN_KEYS.values()]))
+    return F.expr(sql_array(_COLUMN_KEYS.values()))
 
 
 def parser_counters() -> list[Column]:
@@ -171,7 +183,7 @@ def fenced(df: DataFrame, column: str) -> DataFrame:
     Pushed further down, such a filter would repeat the whole chain of patterns inside its
     condition. Filters on the columns a frame came with still pass, down to the scan.
     """
-    return df.select(*[F.explode(F.array(c)).alias(c) if c == column else c for c in df.columns])
+    return df.select(*[F.explode(F.array(apart(F.col(c)))).alias(c) if c == column else c for c in df.columns])
 
 
 def _plain(text: Column) -> Column:
@@ -179,38 +191,50 @@ def _plain(text: Column) -> Column:
     return (F.length(text) == F.octet_length(text)) & ~F.rlike(text, F.lit(r"[\x00-\x1f]"))
 
 
+def _escaped(text: Column) -> Column:
+    """A text as it stands between the quotes of a JSON string; control characters are let through by the reader."""
+    quoted = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.when(F.contains(text, F.lit("\\")) | F.contains(text, F.lit('"')), quoted).otherwise(text)
+
+
 @once
 def _pair_steps() -> list[list[Column]]:
-    """P5: reversed keys (with their equals sign) and values, so that the first hit is the last occurrence.
+    """P5: ``__pairs``, the known keys with the value of their last occurrence.
 
-    A payload is split at its semicolons. If every segment is empty or starts with a key, the
-    pieces before and after its first equals sign are the pairs: pieces that are no known key
-    are tested, all at once. Only other payloads are searched for keys.
+    A payload is rewritten as a JSON object and read by Spark's JSON reader, which keeps the last of
+    repeated names and skips unknown ones. If every segment starts with a key or has no equals sign,
+    one replacement does that; only other payloads are searched for keys.
     """
-    fields = F.contains(_t("payload"), F.lit(")="))
-    end = F.lit(2**31 - 1)
-    heads = F.transform(_t("segments"), lambda s: F.trim(F.left(s, F.locate("=", s))))
-    tails = F.transform(_t("segments"), lambda s: F.trim(F.substring(s, F.locate("=", s) + 1, end)))
-    found = {
-        n: F.reverse(F.regexp_extract_all(_t("payload"), F.lit(FIELD), F.lit(g))) for n, g in (("heads", 1), ("tails", 2))
-    }
-    none = F.array().cast("array<string>")
-    unknown = F.array_join(F.array_except(_t("heads"), _known_keys()), "")
-    last = {f"last_{c}": _last_value(_COLUMN_KEYS[c]) for c in vocab.ADDRESS_COLUMNS}
+    payload = _t("payload")
+    plain = _plain(payload) & (F.octet_length(payload) <= REGULAR_MAX_BYTES)
+    quick = F.concat(F.lit("{"), F.regexp_replace(_escaped(payload), SEGMENT, '"$1":"$2",'), F.lit('"":""}'))
+    keys, vals = (F.when(_t("fields") & ~_t("regular"), F.regexp_extract_all(payload, F.lit(FIELD), F.lit(g))) for g in (1, 2))
+    members = F.zip_with(_t("heads"), _t("tails"), lambda k, v: F.when(
+        F.length(k) <= NAME_MAX_CHARS, F.concat(F.lit('"'), k, F.lit('":"'), _escaped(v), F.lit('"'))))
+    searched = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
     return [
-        _named(segments=F.when(fields, F.reverse(F.split(_t("payload"), ";")))),
-        _named(heads=heads, tails=tails),
-        _named(unknown=unknown),
-        _named(regular=((_t("unknown") == "") | F.rlike(_t("unknown"), F.lit(KEYS))) & _plain(_t("payload"))),
-        _named(
-            keys=F.when(_t("regular"), _t("heads")).when(fields, found["heads"]).otherwise(none),
-            vals=F.when(_t("regular"), _t("tails")).when(fields, found["tails"]).otherwise(none),
-        ),
-        _named(ids=F.transform(_t("keys"), lambda k: F.xxhash64(k))),
-        _named(**last),
+        _named(fields=F.contains(payload, F.lit(")="))),
+        _named(regular=_t("fields") & plain & F.rlike(payload, F.lit(REGULAR))),
+        _named(heads=keys, tails=vals),
+        _named(json=F.when(_t("regular"), quick).when(_t("fields"), searched)),
+        _named(pairs=F.from_json(_t("json"), _FIELD_TYPE, _JSON)),
     ]
 
 
+@once
+def _value_columns() -> list[Column]:
+    """``__value_<column>`` per record column, null for an absent key, and whether there is a key that is no address.
+
+    They take the place of ``__pairs``: with the struct beside its fields, every condition the
+    optimizer knows about a line would be kept once for each of their spellings.
+    """
+    first, *others = [_t("pairs")[key] for column, key in _COLUMN_KEYS.items() if column not in vocab.ADDRESS_COLUMNS]
+    return _named(
+        **{_value(c): F.trim(_t("pairs")[key]) for c, key in _COLUMN_KEYS.items()},
+        known=F.coalesce(apart(first), *others).isNotNull(),
+    )
+
+
 @once
 def _address_columns() -> list[Column]:
     return [_last_address(c).alias(c) for c in vocab.ADDRESS_COLUMNS]
@@ -222,20 +246,17 @@ def _system_steps() -> list[list[Column]]:
 
     They come before the record's other columns, while the rows are narrow.
     """
-    plain_keys = sql_array([_COLUMN_KEYS[c] for c in vocab.SESSION_COLUMNS if c not in vocab.ADDRESS_COLUMNS])
-    known = F.when(F.expr(_place(_COLUMN_KEYS["proto"]) + " >= 0"), True).otherwise(
-        F.coalesce(F.expr(f"arrays_overlap({_TEMP}keys, {plain_keys})"), F.lit(False)))
     any_address = F.coalesce(*[F.col(c) for c in vocab.ADDRESS_COLUMNS]).isNotNull()
     gate = ~_t("found") & F.contains(_t("module"), F.lit("/"))
     detail = syslogs.details(_t("kind"), _t("module"), _t("text"))
     return [
-        _named(found=known | any_address, module=header_columns()["_module"]),
+        _named(found=_t("known") | any_address, module=header_columns()["_module"]),
         _named(text=F.when(gate, strip(_t("payload")))),
         _named(kind=F.when(_t("text").isNotNull(), syslogs.kind(_t("text")))),
-        _named(sys=F.when(_t("kind").isNotNull(), detail), **{c: _last_value(_COLUMN_KEYS[c]) for c in ("fw_action", "event")}),
+        _named(sys=F.when(_t("kind").isNotNull(), detail)),
         _named(action=F.when(
             _t("sys").isNotNull() | _t("found"),
-            F.coalesce(_t("sys")["action"], session_action(_t("fw_action"), _t("event"))),
+            F.coalesce(_t("sys")["action"], session_action(_t(_value("fw_action")), _t(_value("event")))),
         )),
     ]
 
@@ -244,16 +265,15 @@ def _system_steps() -> list[list[Column]]:
 def _record_columns() -> list[Column]:
     """P6 and the header, all read from the pairs, the header pieces and the system record."""
     reason = (
-        F.when(_t("line").isNull() | (_t("line") == ""), "empty_line")
+        F.when(_t("blank"), "empty_line")
         .when(~_t("found") & _t("sys").isNull(), "no_recognized_fields")
     )
     sys, heads = _t("sys"), header_columns()
-    ready = {c: F.col(c) for c in vocab.ADDRESS_COLUMNS} | {c: _t(c) for c in ("fw_action", "event")}
-    values = {c: ready[c] if c in ready else _last_value(_COLUMN_KEYS[c]) for c in vocab.SESSION_COLUMNS}
+    values = {c: F.col(c) if c in vocab.ADDRESS_COLUMNS else _t(_value(c)) for c in vocab.SESSION_COLUMNS}
     return [
         *[(F.coalesce(v, sys[c]) if c in _SHARED else v).alias(c) for c, v in values.items()],
         heads["hostname"].alias("hostname"),
-        _t("action").alias("action"),
+        apart(_t("action")).alias("action"),
         *[_t("module").alias(c) if c == "_module" else heads[c].alias(c) for c in vocab.HEADER_COLUMNS],
         *[sys[c].alias(c) for c in vocab.SYSTEM_COLUMNS],
         _extras().alias("extras"),
@@ -270,9 +290,13 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
     """
     given = df.columns
     df = _add(df, _named(line=strip(F.col(value))))
-    for step in _header_steps() + _pair_steps() + [_address_columns()] + _system_steps():
+    for step in _header_steps() + _pair_steps():
+        df = _add(df, step)
+    df = _add(df, _value_columns()).drop(f"{_TEMP}json", f"{_TEMP}pairs")
+    for step in [_address_columns()] + _system_steps():
         df = _add(df, step)
     # kept apart from the record's columns, which would each repeat the system patterns
     df = fenced(df, f"{_TEMP}sys")
+    df = _add(df, _key_columns())
     return fenced(df.select(*given, *_record_columns()), "reason")
 

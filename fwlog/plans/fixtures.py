@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fwlog.functions.text import apart
+from fwlog.operators.parse import fenced
+
 COPIES = 6
+TASKS_PER_CORE = 3
 
 # SHARED: generating columns of a line, over (e, u, t, v).
 GENERATED = {
@@ -52,6 +56,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keyed_events(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
     """Rows (e, u, t, v): every event, repeated with consecutive keys."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    # a file of few row groups is read by as many tasks; every row becomes long lines, so all cores take part
+    events = events.repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     return events.select(
         F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("k"), "*"
     ).select(
@@ -140,7 +146,7 @@ def session_line() -> "F.Column":
 def session_lines(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFrame:
     """RAW session log: (msg_id, value)."""
     return generated(keyed_events(spark, sf_dir, copies)).select(
-        F.col("e").alias("msg_id"), session_line().alias("value")
+        apart(F.col("e")).alias("msg_id"), session_line().alias("value")
     )
 
 
@@ -196,9 +202,10 @@ def csv_lines(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFra
         .when(e % 53 == 0, '"2026-03-13 10:24:05",nothing here')
         .otherwise(full)
     )
-    return generated(keyed_events(spark, sf_dir, copies)).select(
-        e.alias("msg_id"), value.alias("value")
-    )
+    # a filter on the text would otherwise build every line once more
+    return fenced(generated(keyed_events(spark, sf_dir, copies)).select(
+        apart(e).alias("msg_id"), value.alias("value")
+    ), "value")
 
 
 # SHARED: arrival time in milliseconds and sender of message e.
@@ -261,7 +268,7 @@ def bulk_requests(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> Dat
     e = F.col("e")
     r = F.col("request_id")
     lines = generated(keyed_events(spark, sf_dir, copies)).select(
-        ((e - e % 40) / 40).cast("bigint").alias("request_id"), e.alias("e"),
+        ((e - e % 40) / 40).cast("bigint").alias("request_id"), apart(e).alias("e"),
         session_line().alias("value"),
     )
     grouped = lines.groupBy("request_id").agg(
@@ -295,7 +302,7 @@ def single_requests(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> D
         .otherwise("nothing to see")
     )
     return generated(keyed_events(spark, sf_dir, copies)).select(
-        e.alias("msg_id"), body.alias("body")
+        apart(e).alias("msg_id"), body.alias("body")
     )
 
 
