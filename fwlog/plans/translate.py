@@ -26,7 +26,7 @@ def translate_csv(df: DataFrame, mode: str = "cef", every_line: bool = False) ->
 
 def format_records(records: DataFrame, mode: str = "cef") -> DataFrame:
     """Messages of records that can be formatted."""
-    return add_message(records, mode).filter(F.col("message").isNotNull())
+    return fenced(add_message(records, mode), "message").filter(F.col("message").isNotNull())
 
 
 def translate_live(
