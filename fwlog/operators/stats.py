@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fwlog.functions.text import DIGIT, WS, extract, strip
 from fwlog.functions.render import formatter_counters
 from fwlog.operators.delivery import long_form
-from fwlog.operators.parse import parser_counters
+from fwlog.operators.parse import fenced, parser_counters
 
 
 def parser_stats(parsed: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ TRANSLATED_FIELDS = (
 
 def extract_fields(df: DataFrame, message: str = "message") -> DataFrame:
     """Fields of translated lines (D1); lines the pattern does not match are left out."""
-    kept = df.select("*", extract(F.col(message), TRANSLATED, 0).alias("__hit"))
+    kept = fenced(df.select("*", extract(F.col(message), TRANSLATED, 0).alias("__hit")), "__hit")
     kept = kept.filter(F.col("__hit") != "")
     return kept.select(
         *df.columns,
