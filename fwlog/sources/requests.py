@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fwlog import vocab
+from fwlog.operators.parse import fenced
 
 BULK_MAX_BYTES = 10 * 1024 * 1024
 
@@ -54,7 +55,8 @@ def with_bulk_lines(requests: DataFrame, body: str = "body") -> DataFrame:
         .when((count == 0) | (count > vocab.BULK_MAX_LINES), 400)
         .otherwise(200)
     )
-    df = df.select(*keep, status.alias("status"), "__lines")
+    # a filter on the status would otherwise read every document once more for each of its conditions
+    df = fenced(df.select(*keep, status.alias("status"), "__lines"), "status")
     return df.select(*keep, "status", F.when(F.col("status") == 200, F.col("__lines")).alias("lines"))
 
 
