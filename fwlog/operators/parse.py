@@ -7,9 +7,10 @@ is no shuffle and no Python on this path, and columns nobody asks for are pruned
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fwlog import vocab
 from fwlog.functions.actions import session_action
@@ -42,18 +43,13 @@ MODULE = rf"^{_MODULE}"
 # Key(n)=value. The look-behind keeps the scan linear on hostile text.
 _LETTER = "[A-Za-z_]"
 FIELD = rf"(?<!{_LETTER})({_LETTER}+\({DIGIT}+\))={WS}*+([^;]*?){WS}*(?=;|\z)"
-# The same pairs of an ASCII payload whose segments all start with a key or have no equals sign.
-_PAIR = rf" *+({_LETTER}++\([0-9]++\))=([^;]*+)"
-REGULAR = rf"^(?:(?:{_PAIR}|[^;=]*+)(?:;|\z))*+\z"
-SEGMENT = rf"(?:{_PAIR}|[^;]*+)(?:;|\z)"
-REGULAR_FIELD = rf"(?<![^;]){_PAIR}"
-# Payloads longer than this are searched: a JSON reader takes no name above 50 000 characters.
-REGULAR_MAX_BYTES = 50_000
-NAME_MAX_CHARS = 1_000
+# A payload of plain pairs, one in every segment: no control character and no blank but spaces. Characters are spelled
+# out, as a class without ranges is one bit set, and loops are greedy, as those over a class are the fast ones.
+_KEY_CHARS = string.ascii_letters + "_"
+_VALUE_CHARS = "".join(rf"\x{p:02x}" for p in range(0x20, 0x7F) if chr(p) != ";") + r"\x{a1}-\x{167f}\x{3001}-\x{d7ff}"
+PLAIN_PAIRS = rf"^(?:[{_KEY_CHARS}]+\([0123456789]+\)=[{_VALUE_CHARS}]*(?:;|\z))*+\z"
 
 _COLUMN_KEYS = {column: key for key, column in vocab.FIELD_COLUMNS.items()}
-_FIELD_TYPE = T.StructType([T.StructField(key, T.StringType()) for key in vocab.FIELD_COLUMNS])
-_JSON = {"allowUnquotedControlChars": "true", "maxStringLen": str(2**31 - 1)}
 # Record columns that a system log may fill as well.
 _SHARED = ("proto", "category", "event", "user", "src", "dst", "app")
 _TEMP = "__"
@@ -118,8 +114,9 @@ def header_columns() -> dict[str, Column]:
     }
 
 
-def _value(column: str) -> str:
-    return f"value_{column}"
+def _value(column: str) -> Column:
+    """Value of the last occurrence of a column's key, null for an absent key."""
+    return F.get(_t("vals"), F.array_position(_t("keys"), _COLUMN_KEYS[column]).cast("int") - 1)
 
 
 def _usable(value: Column) -> Column:
@@ -129,24 +126,12 @@ def _usable(value: Column) -> Column:
 def _last_address(column: str) -> Column:
     """Last occurrence that is empty or a valid address.
 
-    ``__value_<column>`` holds the last occurrence; only a line where that one is
+    ``__last_<column>`` holds the last occurrence; only a line where that one is
     invalid looks at the earlier ones.
     """
-    key, last = _COLUMN_KEYS[column], _t(_value(column))
-    own = rf"(?<![^;]) *+\Q{key}\E=([^;]*+)"
-    named = F.filter(F.arrays_zip(_t("heads").alias("k"), _t("tails").alias("v")), lambda p: p["k"] == key)
-    all_values = F.when(_t("regular"), F.regexp_extract_all(_t("payload"), F.lit(own), F.lit(1))).otherwise(named["v"])
-    kept = F.filter(F.transform(all_values, lambda v: F.trim(v)), _usable)
-    return F.when(last.isNull() | _usable(last), last).otherwise(F.get(F.reverse(kept), 0))
-
-
-def _key_columns() -> list[Column]:
-    """``__keys`` and ``__vals``: all pairs, last occurrence first; for unknown keys only."""
-    def found(group, searched):
-        regular = F.regexp_extract_all(_t("payload"), F.lit(REGULAR_FIELD), F.lit(group))
-        return F.reverse(F.when(_t("regular"), regular).otherwise(F.coalesce(_t(searched), F.array().cast("array<string>"))))
-
-    return _named(keys=found(1, "heads"), vals=found(2, "tails"))
+    key, last = _COLUMN_KEYS[column], _t(f"last_{column}")
+    named = F.filter(F.arrays_zip(_t("keys").alias("k"), _t("vals").alias("v")), lambda p: p["k"] == key)
+    return F.when(last.isNull() | _usable(last), last).otherwise(F.get(F.filter(named["v"], _usable), 0))
 
 
 @once
@@ -157,7 +142,7 @@ def _extras() -> Column:
             F.array_except(_t("keys"), _known_keys()),
             lambda k: F.struct(
                 F.concat(F.lit(vocab.UNKNOWN_KEY_PREFIX), k),
-                F.trim(F.get(_t("vals"), F.array_position(_t("keys"), k).cast("int") - 1)),
+                F.get(_t("vals"), F.array_position(_t("keys"), k).cast("int") - 1),
             ),
         )
     )
@@ -186,67 +171,51 @@ def fenced(df: DataFrame, column: str) -> DataFrame:
     return df.select(*[F.explode(F.array(apart(F.col(c)))).alias(c) if c == column else c for c in df.columns])
 
 
-def _plain(text: Column) -> Column:
-    """Whether a text is ASCII without control characters, so that its only blanks are spaces."""
-    return (F.length(text) == F.octet_length(text)) & ~F.rlike(text, F.lit(r"[\x00-\x1f]"))
-
-
-def _escaped(text: Column) -> Column:
-    """A text as it stands between the quotes of a JSON string; control characters are let through by the reader."""
-    quoted = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.when(F.contains(text, F.lit("\\")) | F.contains(text, F.lit('"')), quoted).otherwise(text)
-
-
 @once
 def _pair_steps() -> list[list[Column]]:
-    """P5: ``__pairs``, the known keys with the value of their last occurrence.
+    """P5: ``__keys`` and ``__vals``, all pairs, last occurrence first.
 
-    A payload is rewritten as a JSON object and read by Spark's JSON reader, which keeps the last of
-    repeated names and skips unknown ones. If every segment starts with a key or has no equals sign,
-    one replacement does that; only other payloads are searched for keys.
+    A payload of plain pairs is cut at its semicolons; any other one is searched for keys.
     """
-    payload = _t("payload")
-    plain = _plain(payload) & (F.octet_length(payload) <= REGULAR_MAX_BYTES)
-    quick = F.concat(F.lit("{"), F.regexp_replace(_escaped(payload), SEGMENT, '"$1":"$2",'), F.lit('"":""}'))
-    keys, vals = (F.when(_t("fields") & ~_t("regular"), F.regexp_extract_all(payload, F.lit(FIELD), F.lit(g))) for g in (1, 2))
-    members = F.zip_with(_t("heads"), _t("tails"), lambda k, v: F.when(
-        F.length(k) <= NAME_MAX_CHARS, F.concat(F.lit('"'), k, F.lit('":"'), _escaped(v), F.lit('"'))))
-    searched = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+    payload, segments = _t("payload"), _t("segments")
+    flat = F.replace(F.btrim(payload, F.lit("; ")), F.lit("; "), F.lit(";"))
+    none = F.array().cast("array<string>")
+
+    def found(cut, group):
+        searched = F.when(_t("fields"), F.regexp_extract_all(payload, F.lit(FIELD), F.lit(group)))
+        return F.when(segments.isNotNull(), F.transform(segments, cut)).otherwise(F.reverse(F.coalesce(searched, none)))
+
     return [
         _named(fields=F.contains(payload, F.lit(")="))),
-        _named(regular=_t("fields") & plain & F.rlike(payload, F.lit(REGULAR))),
-        _named(heads=keys, tails=vals),
-        _named(json=F.when(_t("regular"), quick).when(_t("fields"), searched)),
-        _named(pairs=F.from_json(_t("json"), _FIELD_TYPE, _JSON)),
+        _named(flat=F.when(_t("fields"), flat)),
+        _named(segments=F.when(F.rlike(_t("flat"), F.lit(PLAIN_PAIRS)), F.reverse(F.split(_t("flat"), ";")))),
+        _named(
+            keys=found(lambda s: F.substring_index(s, "=", 1), 1),
+            vals=found(lambda s: F.trim(F.substring(s, F.instr(s, "=") + 1, F.lit(2**31 - 1))), 2),
+        ),
     ]
 
 
 @once
-def _value_columns() -> list[Column]:
-    """``__value_<column>`` per record column, null for an absent key, and whether there is a key that is no address.
-
-    They take the place of ``__pairs``: with the struct beside its fields, every condition the
-    optimizer knows about a line would be kept once for each of their spellings.
-    """
-    first, *others = [_t("pairs")[key] for column, key in _COLUMN_KEYS.items() if column not in vocab.ADDRESS_COLUMNS]
-    return _named(
-        **{_value(c): F.trim(_t("pairs")[key]) for c, key in _COLUMN_KEYS.items()},
-        known=F.coalesce(apart(first), *others).isNotNull(),
-    )
-
-
-@once
-def _address_columns() -> list[Column]:
-    return [_last_address(c).alias(c) for c in vocab.ADDRESS_COLUMNS]
+def _address_steps() -> list[list[Column]]:
+    """``__last_<column>``, then ``__<column>``, per address column; whether there is a key that is no address."""
+    others = [key for column, key in _COLUMN_KEYS.items() if column not in vocab.ADDRESS_COLUMNS]
+    return [
+        _named(
+            **{f"last_{c}": _value(c) for c in vocab.ADDRESS_COLUMNS},
+            known=F.arrays_overlap(_t("keys"), F.expr(sql_array(others))),
+        ),
+        _named(**{c: _last_address(c) for c in vocab.ADDRESS_COLUMNS}),
+    ]
 
 
 @once
 def _system_steps() -> list[list[Column]]:
     """P11-P20 for lines without a recognised field whose module has a slash.
 
-    They come before the record's other columns, while the rows are narrow.
+    They come before the record's other columns, while the rows are narrow, and so does ``reason``.
     """
-    any_address = F.coalesce(*[F.col(c) for c in vocab.ADDRESS_COLUMNS]).isNotNull()
+    any_address = F.coalesce(*[_t(c) for c in vocab.ADDRESS_COLUMNS]).isNotNull()
     gate = ~_t("found") & F.contains(_t("module"), F.lit("/"))
     detail = syslogs.details(_t("kind"), _t("module"), _t("text"))
     return [
@@ -254,22 +223,16 @@ def _system_steps() -> list[list[Column]]:
         _named(text=F.when(gate, strip(_t("payload")))),
         _named(kind=F.when(_t("text").isNotNull(), syslogs.kind(_t("text")))),
         _named(sys=F.when(_t("kind").isNotNull(), detail)),
-        _named(action=F.when(
-            _t("sys").isNotNull() | _t("found"),
-            F.coalesce(_t("sys")["action"], session_action(_t(_value("fw_action")), _t(_value("event")))),
-        )),
+        [F.when(_t("blank"), "empty_line")
+         .when(~_t("found") & _t("sys").isNull(), "no_recognized_fields").alias("reason")],
     ]
 
 
 @once
 def _record_columns() -> list[Column]:
-    """P6 and the header, all read from the pairs, the header pieces and the system record."""
-    reason = (
-        F.when(_t("blank"), "empty_line")
-        .when(~_t("found") & _t("sys").isNull(), "no_recognized_fields")
-    )
+    """The header and the values, all read from the pairs, the header pieces and the system record."""
     sys, heads = _t("sys"), header_columns()
-    values = {c: F.col(c) if c in vocab.ADDRESS_COLUMNS else _t(_value(c)) for c in vocab.SESSION_COLUMNS}
+    values = {c: _t(c) if c in vocab.ADDRESS_COLUMNS else _value(c) for c in vocab.SESSION_COLUMNS}
     return [
         *[(F.coalesce(v, sys[c]) if c in _SHARED else v).alias(c) for c, v in values.items()],
         heads["hostname"].alias("hostname"),
@@ -277,11 +240,17 @@ def _record_columns() -> list[Column]:
         *[_t("module").alias(c) if c == "_module" else heads[c].alias(c) for c in vocab.HEADER_COLUMNS],
         *[sys[c].alias(c) for c in vocab.SYSTEM_COLUMNS],
         _extras().alias("extras"),
-        reason.alias("reason"),
+        F.col("reason"),
         F.lit(None).cast("string").alias("_csv_timestamp"),
     ]
 
 
+@once
+def _action() -> list[Column]:
+    own = session_action(_t("fw_action"), _t("event"))
+    return _named(action=F.when(F.col("reason").isNull(), F.coalesce(_t("sys")["action"], own)))
+
+
 def parse(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds the record columns, ``extras`` and ``reason`` to every row.
 
@@ -290,13 +259,10 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
     """
     given = df.columns
     df = _add(df, _named(line=strip(F.col(value))))
-    for step in _header_steps() + _pair_steps():
-        df = _add(df, step)
-    df = _add(df, _value_columns()).drop(f"{_TEMP}json", f"{_TEMP}pairs")
-    for step in [_address_columns()] + _system_steps():
+    for step in _header_steps() + _pair_steps() + _address_steps() + _system_steps():
         df = _add(df, step)
-    # kept apart from the record's columns, which would each repeat the system patterns
-    df = fenced(df, f"{_TEMP}sys")
-    df = _add(df, _key_columns())
-    return fenced(df.select(*given, *_record_columns()), "reason")
-
+    # the record's columns come after the fence: they are made of the lines that pass a filter on the reason
+    df = fenced(df, "reason")
+    df = _add(df, _named(fw_action=_value("fw_action"), event=_value("event")))
+    df = _add(df, _action())
+    return df.select(*given, *_record_columns())
