@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fwlog import vocab
 from fwlog.functions.actions import event_code
 from fwlog.functions.memo import once
-from fwlog.functions.text import CONTROL, lookup, rstrip, sql_array, sql_text
+from fwlog.functions.text import CONTROL, apart, lookup, rstrip, sql_array, sql_text
 
 _CONTROL_CHARS = "".join(map(chr, [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F]))
 
@@ -58,8 +58,12 @@ def _cleaned(separator: str, leads, columns, clean) -> Column:
 
 
 def _staged(df: DataFrame, columns) -> DataFrame:
-    """The output values as one text, which tells whether there are any and whether they are clean."""
-    return df.select("*", _joined("", [""] * len(columns), columns).alias("__joined"))
+    """The output values as one text, which tells whether there are any and whether they are clean.
+
+    All of them make a method longer than the JVM compiles, unless the projection is set apart.
+    """
+    given = [apart(F.col(c)).alias(c) if c == "proto" else F.col(c) for c in df.columns]
+    return df.select(*given, _joined("", [""] * len(columns), columns).alias("__joined"))
 
 
 def _formattable() -> Column:

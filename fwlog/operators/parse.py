@@ -46,8 +46,11 @@ FIELD = rf"(?<!{_LETTER})({_LETTER}+\({DIGIT}+\))={WS}*+([^;]*?){WS}*(?=;|\z)"
 # A payload of plain pairs, one in every segment: no control character and no blank but spaces. Characters are spelled
 # out, as a class without ranges is one bit set, and loops are greedy, as those over a class are the fast ones.
 _KEY_CHARS = string.ascii_letters + "_"
-_VALUE_CHARS = "".join(rf"\x{p:02x}" for p in range(0x20, 0x7F) if chr(p) != ";") + r"\x{a1}-\x{167f}\x{3001}-\x{d7ff}"
-PLAIN_PAIRS = rf"^(?:[{_KEY_CHARS}]+\([0123456789]+\)=[{_VALUE_CHARS}]*(?:;|\z))*+\z"
+_ASCII = "".join(rf"\x{p:02x}" for p in range(0x20, 0x7F) if chr(p) != ";")
+_WIDE = r"\x{a1}-\x{167f}\x{3001}-\x{d7ff}"
+PLAIN_PAIRS, WIDE_PAIRS = (
+    rf"^(?:[{_KEY_CHARS}]+\([0123456789]+\)=[{chars}]*(?:;|\z))*+\z" for chars in (_ASCII, _ASCII + _WIDE)
+)
 
 _COLUMN_KEYS = {column: key for key, column in vocab.FIELD_COLUMNS.items()}
 # Record columns that a system log may fill as well.
@@ -116,7 +119,12 @@ def header_columns() -> dict[str, Column]:
 
 def _value(column: str) -> Column:
     """Value of the last occurrence of a column's key, null for an absent key."""
-    return F.get(_t("vals"), F.array_position(_t("keys"), _COLUMN_KEYS[column]).cast("int") - 1)
+    return _value_at(F.array_position(_t("keys"), _COLUMN_KEYS[column]), F.lit(len(_COLUMN_KEYS[column])))
+
+
+def _value_at(position: Column, key_length: Column) -> Column:
+    pair = F.get(_t("pairs"), position.cast("int") - 1)
+    return F.trim(F.substring(pair, key_length + 2, F.lit(2**31 - 1)))
 
 
 def _usable(value: Column) -> Column:
@@ -130,8 +138,9 @@ def _last_address(column: str) -> Column:
     invalid looks at the earlier ones.
     """
     key, last = _COLUMN_KEYS[column], _t(f"last_{column}")
-    named = F.filter(F.arrays_zip(_t("keys").alias("k"), _t("vals").alias("v")), lambda p: p["k"] == key)
-    return F.when(last.isNull() | _usable(last), last).otherwise(F.get(F.filter(named["v"], _usable), 0))
+    named = F.filter(_t("pairs"), lambda p: F.startswith(p, F.lit(f"{key}=")))
+    values = F.transform(named, lambda p: F.trim(F.substring(p, F.lit(len(key) + 2), F.lit(2**31 - 1))))
+    return F.when(last.isNull() | _usable(last), last).otherwise(F.get(F.filter(values, _usable), 0))
 
 
 @once
@@ -142,7 +151,7 @@ def _extras() -> Column:
             F.array_except(_t("keys"), _known_keys()),
             lambda k: F.struct(
                 F.concat(F.lit(vocab.UNKNOWN_KEY_PREFIX), k),
-                F.get(_t("vals"), F.array_position(_t("keys"), k).cast("int") - 1),
+                _value_at(F.array_position(_t("keys"), k), F.length(k)),
             ),
         )
     )
@@ -173,26 +182,20 @@ def fenced(df: DataFrame, column: str) -> DataFrame:
 
 @once
 def _pair_steps() -> list[list[Column]]:
-    """P5: ``__keys`` and ``__vals``, all pairs, last occurrence first.
+    """P5: ``__pairs``, every ``key=value``, last occurrence first, and their ``__keys``.
 
     A payload of plain pairs is cut at its semicolons; any other one is searched for keys.
     """
-    payload, segments = _t("payload"), _t("segments")
-    flat = F.replace(F.btrim(payload, F.lit("; ")), F.lit("; "), F.lit(";"))
-    none = F.array().cast("array<string>")
-
-    def found(cut, group):
-        searched = F.when(_t("fields"), F.regexp_extract_all(payload, F.lit(FIELD), F.lit(group)))
-        return F.when(segments.isNotNull(), F.transform(segments, cut)).otherwise(F.reverse(F.coalesce(searched, none)))
-
+    payload, flat = _t("payload"), _t("flat")
+    trimmed = F.replace(F.btrim(payload, F.lit("; ")), F.lit("; "), F.lit(";"))
+    plain = F.rlike(flat, F.lit(PLAIN_PAIRS)) | F.rlike(flat, F.lit(WIDE_PAIRS))
+    heads, tails = (F.regexp_extract_all(payload, F.lit(FIELD), F.lit(g)) for g in (1, 2))
+    searched = F.when(flat.isNotNull(), F.zip_with(heads, tails, lambda k, v: F.concat(k, F.lit("="), v)))
     return [
-        _named(fields=F.contains(payload, F.lit(")="))),
-        _named(flat=F.when(_t("fields"), flat)),
-        _named(segments=F.when(F.rlike(_t("flat"), F.lit(PLAIN_PAIRS)), F.reverse(F.split(_t("flat"), ";")))),
-        _named(
-            keys=found(lambda s: F.substring_index(s, "=", 1), 1),
-            vals=found(lambda s: F.trim(F.substring(s, F.instr(s, "=") + 1, F.lit(2**31 - 1))), 2),
-        ),
+        _named(flat=F.when(F.contains(payload, F.lit(")=")), trimmed)),
+        _named(pairs=F.when(plain, F.reverse(F.split(flat, ";"))).otherwise(
+            F.reverse(F.coalesce(searched, F.array().cast("array<string>"))))),
+        _named(keys=F.transform(_t("pairs"), lambda p: F.substring_index(p, "=", 1))),
     ]
 
 

@@ -56,3 +56,27 @@ def test_pairs_of_odd_payloads(spark):
         assert row.reason is None
         for column, want in cases[row.value].items():
             assert row[column] == want, (row.value[:60], column)
+
+
+def test_plain_payloads_are_cut_at_semicolons(spark):
+    """The pairs are read once, without a JSON reader; records are made of the lines that pass a filter on the reason."""
+    cases = {
+        "Protocol(1001)=TCP; SrcPort(1004)= 7 ;SrcPort(1004)=8; Foo(1)=a=b;;": {"sport": "8", "extras": {"_raw_Foo(1)": "a=b"}},
+        "Protocol(1001)=TCP;UserName(1073)=\u7528\u6237 x;PolicyName(1070)=\U0001f600": {"user": "\u7528\u6237 x", "policy_name": "\U0001f600"},
+        "Protocol(1001)=TCP;UserName(1073)=\u3000y\u3000;SrcIPAddr(1003)=10.0.0.1;SrcIPAddr(1003)=;SrcIPAddr(1003)=z": {"user": "y", "src": ""},
+        "Protocol(1001)=TCP;SrcIPAddr(1003)=10.0.0.1;SrcIPAddr(1003)=1.1.1.1.1;Foo(1)=": {"src": "10.0.0.1", "extras": {"_raw_Foo(1)": ""}},
+        "Protocol(1001)=TCP;SrcPort(1004);DstPort(1008)=1": {"sport": None, "dport": "1", "extras": {}},
+    }
+    parsed = parse(_lines(spark, *cases, "garbage")).filter("reason IS NULL")
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan
+    assert plan.index("Generate explode") < plan.index("regexp_extract_all")
+    assert "AS __event" in plan.split("Filter isnull(reason")[0]
+    for row in parsed.collect():
+        for column, want in cases[row.value].items():
+            assert row[column] == want, (row.value, column)
+
+
+def test_joined_values_are_compiled_apart(spark):
+    done = translate(_lines(spark, BODY), "extended")
+    assert "transform(array(proto" in done._jdf.queryExecution().optimizedPlan().toString()
