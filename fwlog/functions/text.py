@@ -34,6 +34,22 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def strip_line(c: Column) -> Column:
+    """`strip` of a bare column of long texts.
+
+    Trimming a set of characters walks a whole text and keeps every character's place. A text between two printable
+    ASCII characters has no blank at its ends, which its first and last bytes tell.
+    """
+    ends = [F.substring(c.cast("binary"), F.lit(at), F.lit(1)) for at in (1, -1)]
+    printable = [(end >= F.lit(b"!")) & (end <= F.lit(b"~")) for end in ends]
+    return F.when(printable[0] & printable[1], c).otherwise(strip(c))
+
+
+def replaced(c: Column, old: str, new: str) -> Column:
+    """`replace` in a bare column; a text without ``old``, which is told sooner, stays as it is."""
+    return F.when(F.contains(c, F.lit(old)), F.replace(c, F.lit(old), F.lit(new))).otherwise(c)
+
+
 def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(BLANKS))
 
@@ -58,8 +74,14 @@ def apart(c: Column) -> Column:
 
 
 def after(c: Column, prefix: Column) -> Column:
-    """What follows a known prefix of ``c``."""
-    return F.substring(c, F.length(prefix) + 1, F.lit(2**31 - 1))
+    """What follows a known prefix of ``c``; both are bare columns.
+
+    Bytes are cut where that is the same, as characters are counted from the start of a text to its end.
+    """
+    everything = F.lit(2**31 - 1)
+    cut = F.substring(c.cast("binary"), F.octet_length(prefix) + 1, everything).cast("string")
+    return F.when(prefix == "", c).when(F.startswith(c, prefix), cut).otherwise(
+        F.substring(c, F.length(prefix) + 1, everything))
 
 
 def contains_any(c: Column, words) -> Column:

@@ -8,6 +8,8 @@ is no shuffle and no Python on this path, and columns nobody asks for are pruned
 from __future__ import annotations
 
 import string
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from fwlog.functions.actions import session_action
 from fwlog.functions.memo import once
 from fwlog.functions.net import is_address
 from fwlog.functions.text import (
-    DIGIT, NWS, WS, after, apart, extract, none_if_empty, sql_array, strip,
+    DIGIT, NWS, WS, after, apart, extract, none_if_empty, replaced, sql_array, strip, strip_line,
 )
 from fwlog.operators import syslogs
 
@@ -86,37 +88,53 @@ def _header_steps() -> list[list[Column]]:
                 _t("marker") != "", extract(after(_t("rest"), _t("marker")), MODULE, 0)
             ).otherwise(none)
         ),
-        _named(
-            payload=after(_t("rest"), F.concat(_t("header"), _t("marker"), _t("module_text")))
-        ),
+        _named(lead=F.concat(_t("header"), _t("marker"), _t("module_text"))),
+        _named(payload=after(_t("rest"), _t("lead"))),
     ]
 
 
 @once
 def header_columns() -> dict[str, Column]:
-    """Header metadata, read from the short header pieces only."""
-    prefix, header, module_text = _t("prefix"), _t("header"), _t("module_text")
+    """Header metadata, read from the short header pieces and their groups only."""
+    header, module_text = _t("header"), _t("module_text")
     before = strip(F.regexp_replace(_t("marker"), MARKER_TAIL, ""))
 
     def of_prefix(group):
-        return F.when(prefix != "", none_if_empty(extract(prefix, PREFIX, group)))
+        return none_if_empty(F.get(_t("prefix_groups"), group - 1))
+
+    def of_header(group):
+        return F.get(_t("header_groups"), group - 1)
 
     return {
         "_pri": of_prefix(1),
         "_rfc5424_ver": of_prefix(2),
         "_syslog_timestamp": of_prefix(3),
-        "_src_ip": F.when(header != "", none_if_empty(extract(header, HEADER, 1))).when(
+        "_src_ip": F.when(header != "", none_if_empty(of_header(1))).when(
             module_text != "", none_if_empty(extract(before, rf"^({_QUAD})(?={WS}|\z)", 1))
         ),
-        "hostname": F.when(header != "", extract(header, HEADER, 2)).when(
+        "hostname": F.when(header != "", of_header(2)).when(
             module_text != "", none_if_empty(extract(before, rf"({NWS}+)\z", 1))
         ),
-        "_module": F.when(header != "", extract(header, HEADER, 3)).when(
-            module_text != "", extract(module_text, MODULE, 1)
-        ),
+        "_module": F.when(header != "", of_header(3)).when(module_text != "", extract(module_text, MODULE, 1)),
     }
 
 
+@once
+def _group_step() -> list[Column]:
+    """The groups of the prefix and of the header, matched once; no group holds the character they are cut at."""
+    pieces = {"prefix": (PREFIX, ";"), "header": (HEADER, "\n")}
+    return _named(**{
+        f"{name}_groups": F.when(_t(name) != "", F.split(F.regexp_replace(_t(name), pattern, end.join(("$1", "$2", "$3"))), end))
+        for name, (pattern, end) in pieces.items()
+    })
+
+
+def _module() -> Column:
+    """The module alone, for the lines that may be system logs."""
+    header, module_text = _t("header"), _t("module_text")
+    return F.when(header != "", extract(header, HEADER, 3)).when(module_text != "", extract(module_text, MODULE, 1))
+
+
 def _value(column: str) -> Column:
     """Value of the last occurrence of a column's key, null for an absent key."""
     return _value_at(F.array_position(_t("keys"), _COLUMN_KEYS[column]), F.lit(len(_COLUMN_KEYS[column])))
@@ -186,15 +204,19 @@ def _pair_steps() -> list[list[Column]]:
 
     A payload of plain pairs is cut at its semicolons; any other one is searched for keys.
     """
-    payload, flat = _t("payload"), _t("flat")
-    trimmed = F.replace(F.btrim(payload, F.lit("; ")), F.lit("; "), F.lit(";"))
-    plain = F.rlike(flat, F.lit(PLAIN_PAIRS)) | F.rlike(flat, F.lit(WIDE_PAIRS))
+    payload, cut, bare, flat, plain = _t("payload"), _t("cut"), _t("bare"), _t("flat"), _t("plain")
+    uncut = F.substring(payload.cast("binary"), F.lit(1), F.octet_length(payload) - 1).cast("string")
+    ends = [f(cut, F.lit(c)) for f in (F.startswith, F.endswith) for c in "; "]
+    none = F.array().cast("array<string>")
     heads, tails = (F.regexp_extract_all(payload, F.lit(FIELD), F.lit(g)) for g in (1, 2))
-    searched = F.when(flat.isNotNull(), F.zip_with(heads, tails, lambda k, v: F.concat(k, F.lit("="), v)))
+    searched = F.zip_with(heads, tails, lambda k, v: F.concat(k, F.lit("="), v))
     return [
-        _named(flat=F.when(F.contains(payload, F.lit(")=")), trimmed)),
-        _named(pairs=F.when(plain, F.reverse(F.split(flat, ";"))).otherwise(
-            F.reverse(F.coalesce(searched, F.array().cast("array<string>"))))),
+        # trimming a set of characters walks a whole text, so it is for the payloads that need it
+        _named(cut=F.when(F.contains(payload, F.lit(")=")), F.when(F.endswith(payload, F.lit(";")), uncut).otherwise(payload))),
+        _named(bare=F.when(reduce(or_, ends), F.btrim(cut, F.lit("; "))).otherwise(cut)),
+        _named(flat=replaced(bare, "; ", ";")),
+        _named(plain=F.rlike(flat, F.lit(PLAIN_PAIRS)) | F.rlike(flat, F.lit(WIDE_PAIRS))),
+        _named(pairs=F.when(plain, F.reverse(F.split(flat, ";"))).when(flat.isNotNull(), F.reverse(searched)).otherwise(none)),
         _named(keys=F.transform(_t("pairs"), lambda p: F.substring_index(p, "=", 1))),
     ]
 
@@ -206,7 +228,8 @@ def _address_steps() -> list[list[Column]]:
     return [
         _named(
             **{f"last_{c}": _value(c) for c in vocab.ADDRESS_COLUMNS},
-            known=F.arrays_overlap(_t("keys"), F.expr(sql_array(others))),
+            # most lines have the first key, which is found sooner than any of a set
+            known=F.array_contains(_t("keys"), others[0]) | F.arrays_overlap(_t("keys"), F.expr(sql_array(others))),
         ),
         _named(**{c: _last_address(c) for c in vocab.ADDRESS_COLUMNS}),
     ]
@@ -222,7 +245,8 @@ def _system_steps() -> list[list[Column]]:
     gate = ~_t("found") & F.contains(_t("module"), F.lit("/"))
     detail = syslogs.details(_t("kind"), _t("module"), _t("text"))
     return [
-        _named(found=_t("known") | any_address, module=header_columns()["_module"]),
+        _named(found=_t("known") | any_address),
+        _named(module=F.when(~_t("found"), _module())),
         _named(text=F.when(gate, strip(_t("payload")))),
         _named(kind=F.when(_t("text").isNotNull(), syslogs.kind(_t("text")))),
         _named(sys=F.when(_t("kind").isNotNull(), detail)),
@@ -239,8 +263,8 @@ def _record_columns() -> list[Column]:
     return [
         *[(F.coalesce(v, sys[c]) if c in _SHARED else v).alias(c) for c, v in values.items()],
         heads["hostname"].alias("hostname"),
-        apart(_t("action")).alias("action"),
-        *[_t("module").alias(c) if c == "_module" else heads[c].alias(c) for c in vocab.HEADER_COLUMNS],
+        _t("action").alias("action"),
+        *[heads[c].alias(c) for c in vocab.HEADER_COLUMNS],
         *[sys[c].alias(c) for c in vocab.SYSTEM_COLUMNS],
         _extras().alias("extras"),
         F.col("reason"),
@@ -251,7 +275,8 @@ def _record_columns() -> list[Column]:
 @once
 def _action() -> list[Column]:
     own = session_action(_t("fw_action"), _t("event"))
-    return _named(action=F.when(F.col("reason").isNull(), F.coalesce(_t("sys")["action"], own)))
+    # set apart by a bare column, as what is set apart is interpreted
+    return _named(action=F.when(apart(F.col("reason")).isNull(), F.coalesce(_t("sys")["action"], own)))
 
 
 def parse(df: DataFrame, value: str = "value") -> DataFrame:
@@ -261,11 +286,12 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
     absent, ``''`` that it is present without a value.
     """
     given = df.columns
-    df = _add(df, _named(line=strip(F.col(value))))
+    df = _add(df, _named(line=strip_line(F.col(value))))
     for step in _header_steps() + _pair_steps() + _address_steps() + _system_steps():
         df = _add(df, step)
     # the record's columns come after the fence: they are made of the lines that pass a filter on the reason
     df = fenced(df, "reason")
+    df = _add(df, _group_step())
     df = _add(df, _named(fw_action=_value("fw_action"), event=_value("event")))
     df = _add(df, _action())
     return df.select(*given, *_record_columns())

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fwlog import vocab
+from fwlog.functions.text import BLANKS, after, strip_line
 from fwlog.operators.parse import parse
 from fwlog.operators.stats import extract_fields
 from fwlog.plans.translate import format_records, translate, translate_bulk
@@ -80,3 +81,47 @@ def test_plain_payloads_are_cut_at_semicolons(spark):
 def test_joined_values_are_compiled_apart(spark):
     done = translate(_lines(spark, BODY), "extended")
     assert "transform(array(proto" in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_trimmed_like_python_and_only_where_needed(spark):
+    blanks = ["", " ", "\t", "\x1c", "\x85", "　", "\n", "\x7f", "\x00"]
+    texts = [a + b + c for a in blanks for b in ["", "x", "x y", "é", "語z", "!", "~", "😀"] for c in blanks]
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "id long, t string").repartition(2)
+    got = {r.id: r.s for r in rows.select("id", strip_line(F.col("t")).alias("s")).collect()}
+    assert got.pop(-1) is None
+    assert [got[i] for i in range(len(texts))] == [t.strip(BLANKS) for t in texts]
+    plan = _optimized(parse(_lines(spark, BODY)).select("msg_id", "reason"))
+    made = plan.split("AS __line#")[0].split("Project [")[-1]
+    assert made.lower().count("trim(") == 1 and "CASE WHEN" in made.lower().split("trim(")[0].upper()
+
+
+def test_rests_are_cut_behind_their_prefix(spark):
+    rows = [("ab c", "ab"), ("é語x", "é"), ("é語x", ""), ("", ""), ("same", "same"), (None, None), ("😀y", "😀")]
+    df = spark.createDataFrame(rows, "c string, p string").repartition(2)
+    assert "cast(c#" in _optimized(df.select(after(F.col("c"), F.col("p"))))
+    got = {(r.c, r.p): r.rest for r in df.select("*", after(F.col("c"), F.col("p")).alias("rest")).collect()}
+    assert got == {(c, p): None if c is None else c[len(p):] for c, p in rows}
+    # broken bytes: the prefix is what a pattern search made of them, so characters are counted
+    broken = spark.sql("SELECT cast(X'61FF62' AS string) AS c, cast(X'61EFBFBD' AS string) AS p")
+    assert broken.select(after(F.col("c"), F.col("p")).alias("rest")).first().rest == "b"
+
+
+def test_header_groups_are_matched_once(spark):
+    head = "FW-01 %%10 VsysId:1 nat/6/NAT: "
+    lines = ["<189>1 2026-03-13T16:20:09Z 10.16.18.1 kern.info " + head + BODY, "<5>Mar\t3 16:20:09 \x01; %%10 a;b/6: " + BODY, "q;r " + head + BODY, BODY, "garbage", ""]
+    df = parse(_lines(spark, *lines)).select("msg_id", "hostname", *vocab.HEADER_COLUMNS)
+    assert _optimized(df).count("regexp_extract(__prefix") == 0
+    got = {r.msg_id: (r.hostname, r._pri, r._rfc5424_ver, r._syslog_timestamp, r._src_ip, r._module) for r in df.collect()}
+    assert got == {
+        0: ("FW-01", "189", "1", "2026-03-13T16:20:09Z", "10.16.18.1", "nat/6/NAT"), 1: ("\x01;", "5", None, "Mar\t3 16:20:09", None, "a;b/6"),
+        2: ("FW-01", None, None, None, None, "nat/6/NAT"), 3: (None,) * 6, 4: (None,) * 6, 5: (None,) * 6}
+
+
+def test_action_is_compiled(spark):
+    plan = _optimized(parse(_lines(spark, BODY)).select("msg_id", "action"))
+    apart = [part for part in plan.split("transform(array(")[1:] if part.startswith("CASE") or part.startswith("coalesce")]
+    assert not apart
