@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fwlog import vocab
-from fwlog.functions.text import after, extract, none_if_empty, strip
+from fwlog.functions.text import after, extract, none_if_empty, replaced, strip, strip_line
 from fwlog.operators.parse import parse
 
 _QUOTED = r'"([^"]*+(?:""[^"]*+)*+)(?:"([^,]*+)|\z)'
 _ANY = rf'(?:{_QUOTED}|([^",][^,]*+|))'
 FIRST_TWO = rf"(?s)^{_ANY},{_ANY},"
-QUOTED_FIELD = rf"(?s)^{_QUOTED}"
+# a quoted field up to its closing quote, and what follows that
+QUOTED_PART = r'^"[^"]*+(?:""[^"]*+)*+'
+QUOTED_REST = r'^"([^,]*+)'
 PLAIN_FIELD = r"(?s)^[^,]*+"
 
 
@@ -41,17 +43,18 @@ def split_csv(df: DataFrame, value: str = "value") -> DataFrame:
     df = df.select(
         "*", F.when(F.col("__head") != "", after(F.col(value), F.col("__head"))).alias("__tail")
     )
-    head, tail = F.col("__head"), F.col("__tail")
-    third = F.when(
-        F.startswith(tail, F.lit('"')),
-        F.concat(_unquote(extract(tail, QUOTED_FIELD, 1)), extract(tail, QUOTED_FIELD, 2)),
-    ).otherwise(extract(tail, PLAIN_FIELD, 0))
+    head, tail, part = F.col("__head"), F.col("__tail"), F.col("__part")
+    # a long field is matched once, and its doubled quotes are looked for before they are replaced
+    df = df.select("*", F.when(F.startswith(tail, F.lit('"')), extract(tail, QUOTED_PART, 0)).alias("__part"))
+    df = df.select("*", F.substring(part, 2, 2**31 - 1).alias("__inner"), extract(after(tail, part), QUOTED_REST, 1).alias("__rest"))
+    df = df.select("*", F.when(part.isNotNull(), F.concat(replaced(F.col("__inner"), '""', '"'), F.col("__rest")))
+                   .otherwise(extract(tail, PLAIN_FIELD, 0)).alias("__third"))
     present = tail.isNotNull()
     return df.select(
         *keep,
         F.when(present, strip(_field(head, 1))).alias("csv_ts"),
         F.when(present, strip(_field(head, 2))).alias("csv_host"),
-        F.when(present, strip(third)).alias("csv_raw"),
+        strip_line(F.col("__third")).alias("csv_raw"),
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fwlog.functions.text import apart
+from fwlog.functions.text import apart, replaced
 from fwlog.operators.parse import fenced
 
 COPIES = 6
@@ -193,7 +193,8 @@ def csv_lines(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFra
     """Physical lines of a CSV export: header, blank, short and full lines."""
     e = F.col("e")
     host = F.when(e % 7 == 0, '"fw ""q"""').otherwise("10.16.18.1")
-    quoted = F.concat(F.lit('"'), F.replace(session_line(), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = generated(keyed_events(spark, sf_dir, copies)).select(apart(e).alias("e"), session_line().alias("line"))
+    quoted = F.concat(F.lit('"'), replaced(F.col("line"), '"', '""'), F.lit('"'))
     full = F.concat(F.lit('"2026-03-13 10:24:05",'), host, F.lit(","), quoted, F.lit(",extra"))
     value = (
         F.when(e == 0, "Timestamp,Hostname,RawData")
@@ -203,9 +204,7 @@ def csv_lines(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> DataFra
         .otherwise(full)
     )
     # a filter on the text would otherwise build every line once more
-    return fenced(generated(keyed_events(spark, sf_dir, copies)).select(
-        apart(e).alias("msg_id"), value.alias("value")
-    ), "value")
+    return fenced(lines.select(e.alias("msg_id"), value.alias("value")), "value")
 
 
 # SHARED: arrival time in milliseconds and sender of message e.
