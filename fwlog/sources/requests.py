@@ -18,7 +18,9 @@ def _kind(v: Column) -> Column:
 
 def raw_line(body: Column) -> Column:
     """Line of a single request: ``raw`` of a JSON object, else the whole body."""
-    parsed = F.try_parse_json(body)
+    # only a text that opens with a brace can be an object; for any other the reader would raise and catch an error
+    opened = F.rlike(body, F.lit(r"^[ \t\n\r]*+\{"))
+    parsed = F.when(opened, F.try_parse_json(body))
     raw = F.get_json_object(body, "$.raw")
     return F.when(_kind(parsed) == "OBJECT", F.coalesce(raw, F.lit(""))).otherwise(body)
 
