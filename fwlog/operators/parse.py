@@ -279,18 +279,24 @@ def _action() -> list[Column]:
     return _named(action=F.when(apart(F.col("reason")).isNull(), F.coalesce(_t("sys")["action"], own)))
 
 
-def parse(df: DataFrame, value: str = "value") -> DataFrame:
+def parse(df: DataFrame, value: str = "value", fence: bool = True) -> DataFrame:
     """Adds the record columns, ``extras`` and ``reason`` to every row.
 
     ``reason`` is null for a parsed line, else why it failed. Null means the key is
-    absent, ``''`` that it is present without a value.
+    absent, ``''`` that it is present without a value. Without the fence the rows are the
+    same; the steps of columns nobody asks for, ``reason`` too, are then pruned, but a filter
+    on ``reason`` would repeat the chain.
     """
     given = df.columns
     df = _add(df, _named(line=strip_line(F.col(value))))
     for step in _header_steps() + _pair_steps() + _address_steps() + _system_steps():
         df = _add(df, step)
     # the record's columns come after the fence: they are made of the lines that pass a filter on the reason
-    df = fenced(df, "reason")
+    if fence:
+        df = fenced(df, "reason")
+    else:
+        # fused with the steps below, the record would make a method too long to be compiled
+        df = df.select(*[apart(_t("header")).alias(c) if c == _TEMP + "header" else c for c in df.columns])
     df = _add(df, _group_step())
     df = _add(df, _named(fw_action=_value("fw_action"), event=_value("event")))
     df = _add(df, _action())

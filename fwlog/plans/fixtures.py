@@ -184,7 +184,7 @@ def system_lines(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> Data
     near = F.concat(F.lit("FW-02 %%10"), F.col("g_module"))
     head = F.when(F.col("e") % 5 == 0, far).otherwise(near)
     return df.select(
-        F.col("e").alias("msg_id"),
+        apart(F.col("e")).alias("msg_id"),
         F.concat(head, F.lit(": "), F.expr(SYSTEM_TEXT)).alias("value"),
     )
 

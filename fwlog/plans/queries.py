@@ -44,7 +44,7 @@ def parse_headers(spark, sf_dir):
     lines = fx.session_lines(spark, sf_dir).unionByName(
         fx.system_lines(spark, sf_dir).select((-F.col("msg_id") - 1).alias("msg_id"), "value")
     )
-    parsed = parse(lines)
+    parsed = parse(lines, fence=False)
     return parsed.select(
         "msg_id", "hostname", *[F.col(c).alias(c.strip("_")) for c in vocab.HEADER_COLUMNS]
     )
