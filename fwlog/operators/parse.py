@@ -161,15 +161,26 @@ def _last_address(column: str) -> Column:
     return F.when(last.isNull() | _usable(last), last).otherwise(F.get(F.filter(values, _usable), 0))
 
 
+@once
+def _unknown_steps() -> list[list[Column]]:
+    """``__unknown``, the keys of no column, and for lines with any the pairs as one text, which is searched sooner."""
+    pairs = F.concat(F.lit(";"), F.array_join(_t("pairs"), ";"))
+    return [
+        _named(unknown=F.array_except(_t("keys"), _known_keys())),
+        _named(joined=F.when(F.size(_t("unknown")) > 0, pairs)),
+    ]
+
+
 @once
 def _extras() -> Column:
-    """Unknown keys with their last value."""
+    """Unknown keys with their last value (P7); no pair holds a semicolon."""
     return F.map_from_entries(
         F.transform(
-            F.array_except(_t("keys"), _known_keys()),
+            _t("unknown"),
             lambda k: F.struct(
                 F.concat(F.lit(vocab.UNKNOWN_KEY_PREFIX), k),
-                _value_at(F.array_position(_t("keys"), k), F.length(k)),
+                F.trim(F.substring_index(
+                    F.split_part(_t("joined"), F.concat(F.lit(";"), k, F.lit("=")), F.lit(2)), ";", 1)),
             ),
         )
     )
@@ -297,7 +308,8 @@ def parse(df: DataFrame, value: str = "value", fence: bool = True) -> DataFrame:
     else:
         # fused with the steps below, the record would make a method too long to be compiled
         df = df.select(*[apart(_t("header")).alias(c) if c == _TEMP + "header" else c for c in df.columns])
-    df = _add(df, _group_step())
+    for step in [_group_step(), *_unknown_steps()]:
+        df = _add(df, step)
     df = _add(df, _named(fw_action=_value("fw_action"), event=_value("event")))
     df = _add(df, _action())
     return df.select(*given, *_record_columns())
