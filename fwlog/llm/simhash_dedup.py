@@ -1,16 +1,20 @@
-"""SimHash near duplicates: fingerprints linked by sharded vantage-point trees.
+"""SimHash near duplicates: fingerprints linked by tables of shared blocks and vantage-point trees.
 
 A fingerprint's bit is set if it is set in over half of the hashes of the text's word
-shingles. Equal fingerprints collapse first. A vantage-point tree cuts the distinct
-fingerprints into shards: at a node a fingerprint is inside if its Hamming distance to the
-vantage point is at most the radius. By the triangle inequality, of two linked
-fingerprints on different sides both lie within the link distance of the boundary; the
-ones of one side (the side with fewer) are sent to both. So every linked pair meets in
-some shard, whatever sample the tree was drawn from; shards search on with trees of their
-own and report a spanning forest instead of all pairs. Components follow by joins.
-
-The tree is drawn from a sample of SAMPLE_PER_SHARD fingerprints per shard and at most
-MAX_SHARDS shards; it only sets where the cuts lie.
+shingles. Equal fingerprints collapse first. The bits are cut into as many blocks as the
+link distance plus a few more; two linked fingerprints differ in at most as many blocks as
+the distance, so they agree in all others. There is a table for every choice of so many
+others; its key is the bits of these blocks, and rows of equal key meet. So every linked pair
+meets in some table, and the rows dealt are in proportion to the fingerprints: cutting them
+into shards by vantage points alone left about half of them, which lie near a middle
+distance from any point, in one shard. A run of equal keys is compared pairwise, a
+long one through a vantage-point tree of its own, and reports a spanning forest instead of
+all pairs. Components follow by joins.
+
+In such a tree a fingerprint is inside if its Hamming distance to the vantage point is at
+most the radius. By the triangle inequality, of two linked fingerprints on different sides
+both lie within the link distance of the boundary; the ones of one side (the side with
+fewer) are sent to both.
 
 Edge cases: null and wordless texts have fingerprint zero and are linked like any other;
 rows with a null key get a fingerprint and no component; repeated rows give repeated
@@ -20,9 +24,9 @@ result rows; only the key and the text column are read; an empty table gives no
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +36,8 @@ from fwlog.llm._batches import pieces
 from fwlog.llm._graph import components, saved
 
 SHINGLE_WORDS, MAX_BITS = 3, 3
-#: Distinct fingerprints aimed at per shard; bounds of the tree that is sent to the tasks.
-SHARD_ROWS, MAX_SHARDS, SAMPLE_PER_SHARD = 512, 1 << 17, 16
+#: Tables that a fingerprint is dealt to at most, unless the margin is 64 bits or more.
+MAX_TABLES = 64
 #: Fingerprints that are compared pairwise at once.
 LEAF_ROWS = 768
 
@@ -144,6 +148,17 @@ def route(nodes: list, x: np.ndarray, margin: int):
         todo += [(i, rows[a]), (o, rows[b])]
 
 
+def _tie(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the trees of these pairs; a root is the smallest index of its tree."""
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def forest(x: np.ndarray, margin: int) -> np.ndarray:
     """For each fingerprint the smallest index that it is linked to through these."""
     root = np.arange(len(x))
@@ -153,48 +168,86 @@ def forest(x: np.ndarray, margin: int) -> np.ndarray:
             own = rows[lo:lo + LEAF_ROWS]
             for hi in range(lo, len(rows), LEAF_ROWS):
                 other = rows[hi:hi + LEAF_ROWS]
+                if (root[own] == root[own[0]]).all() and (root[other] == root[own[0]]).all():
+                    continue  # all of one tree already
                 i, j = np.nonzero(np.bitwise_count(x[own][:, None] ^ x[other][None, :]) <= margin)
                 i, j = own[i], other[j]
-                i, j = i[i != j], j[i != j]
-                while True:
-                    a, b = root[i], root[j]
-                    if (a == b).all():
-                        break
-                    np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-                    while (root[root] != root).any():
-                        root = root[root]
+                _tie(root, i[i != j], j[i != j])
     return root
 
 
-def links(distinct: DataFrame, margin: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def tables(margin: int) -> list[int]:
+    """Bits compared by each table: any two fingerprints within margin bits agree in all of some table's."""
+    spare = max((k for k in range(1, margin + 1) if margin + k <= 64 and math.comb(margin + k, k) <= MAX_TABLES), default=1)
+    n = margin + spare
+    blocks = [(1 << 64 * (b + 1) // n) - (1 << 64 * b // n) for b in range(n)]
+    return [sum(chosen) for chosen in combinations(blocks, spare)]
+
+
+def _whole_runs(batches):
+    """Columns of the sorted batches, cut only between two values of the first."""
+    held = []
+
+    def all_held():
+        return [np.concatenate(c) for c in zip(*held)]
+
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        if held and held[-1][0][-1] != columns[0][0]:
+            yield all_held()
+            held = []
+        last = np.searchsorted(columns[0], columns[0][-1])
+        if last:
+            held.append([c[:last] for c in columns])
+            yield all_held()
+            held = []
+        held.append([c[last:] for c in columns])
+    if held:
+        yield all_held()
+
+
+def run_forest(key: np.ndarray, fp: np.ndarray, margin: int) -> np.ndarray:
+    """For each row the smallest index that it is linked to within its run of equal keys."""
+    root = np.arange(len(key))
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+    lengths = np.diff(np.r_[starts, len(key)])
+    for start, length in zip(starts[lengths > LEAF_ROWS], lengths[lengths > LEAF_ROWS]):
+        root[start:start + length] = start + forest(fp[start:start + length], margin)
+    short = lengths <= LEAF_ROWS
+    i, end = np.flatnonzero(np.repeat(short, lengths)), np.repeat((starts + lengths)[short], lengths[short])
+    for step in range(1, LEAF_ROWS):
+        inside = i + step < end
+        i, end = i[inside], end[inside]
+        if not len(i):
+            break
+        hit = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= margin]
+        _tie(root, hit, hit + step)
+    return root
+
+
+def links(distinct: DataFrame, margin: int = MAX_BITS) -> DataFrame:
     """Columns a, b: a forest over ids that joins all fingerprints within margin bits.
 
     distinct: saved rows (fp, id), one per fingerprint.
     """
-    n = distinct.count()
-    shards = min(MAX_SHARDS, max(1, n // shard_rows))
-    share = min(1.0, shards * SAMPLE_PER_SHARD / max(1, n))
-    picked = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = np.sort(np.array([r[0] for r in picked.select("fp").collect()], np.int64)).view(np.uint64)
-    nodes = grow(np.random.default_rng(7).permutation(sample), SAMPLE_PER_SHARD, margin) if shards > 1 else [None]
-
-    def deal(batches):
-        for batch in batches:
-            fp = batch.column(0).to_numpy()
-            for leaf, rows in route(nodes, fp.view(np.uint64), margin):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), leaf, np.int64)), pa.array(fp[rows]), batch.column(1).take(pa.array(rows))],
-                    names=["shard", "fp", "id"])
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        root = forest(pdf.fp.to_numpy().view(np.uint64), margin)
-        tied = root != np.arange(len(pdf))
-        ids = pdf.id.to_numpy()
-        return pd.DataFrame({"a": ids[tied], "b": ids[root[tied]]})
-
-    dealt = distinct.select("fp", "id").mapInArrow(deal, "shard long, fp long, id long")
-    return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
+
+    def search(batches):
+        for key, fp, ids in _whole_runs(batches):
+            same = np.r_[False, key[1:] == key[:-1], False]
+            met = np.flatnonzero(same[1:] | same[:-1])
+            met = met[np.lexsort((ids[met], key[met]))]
+            root = run_forest(key[met], fp[met].view(np.uint64), margin)
+            tied, own = root != np.arange(len(met)), ids[met]
+            if tied.any():
+                yield pa.RecordBatch.from_arrays([pa.array(own[tied]), pa.array(own[root[tied]])], names=["a", "b"])
+
+    # tables that happen to share a key only compare more; as one long, the keys are sorted by radix
+    keys = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(int(np.uint64(bits).view(np.int64)))))
+            for t, bits in enumerate(tables(margin))]
+    dealt = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", "id")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
 
 
 def groups(prints: DataFrame, key: str = "doc_id", margin: int = MAX_BITS) -> DataFrame:

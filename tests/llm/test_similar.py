@@ -78,6 +78,42 @@ def test_shards_lose_no_pair():
     assert root.tolist() == smallest_reachable(len(x), list(zip(i.tolist(), j.tolist())))
 
 
+def test_tables_hold_every_link_and_no_large_share():
+    rng = np.random.default_rng(5)
+    for margin in (0, 1, 2, 3, 5, 9, 63, 70):
+        masks = simhash_dedup.tables(margin)
+        assert len(masks) <= max(simhash_dedup.MAX_TABLES, margin + 1)
+        for _ in range(200):
+            bits = sum(1 << int(b) for b in rng.choice(64, min(64, margin), replace=False))
+            assert any(bits & mask == 0 for mask in masks)
+    x = rng.integers(0, 1 << 64, 200_000, dtype=np.uint64)  # as fingerprints of unlike texts are
+    for mask in simhash_dedup.tables(simhash_dedup.MAX_BITS):
+        assert np.unique(x & np.uint64(mask), return_counts=True)[1].max() < 10
+
+
+def test_links_of_long_runs_against_brute_force(spark):
+    """A group that agrees in most tables and is longer than a block and than an Arrow batch, beside pairs and single ones."""
+    rng = np.random.default_rng(6)
+    low = rng.choice(1 << 20, 12_000, replace=False).astype(np.uint64)
+    pairs = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    x = np.unique(np.concatenate([low, pairs, pairs ^ np.uint64(0b111 << 40), rng.integers(0, 1 << 64, 3000, dtype=np.uint64)]))
+    rng.shuffle(x)
+    ids = rng.permutation(len(x)) * 7 - 500
+    got = simhash_dedup.links(spark.createDataFrame([*zip(x.view(np.int64).tolist(), ids.tolist())], "fp long, id long").repartition(4))
+    at = {v: k for k, v in enumerate(ids.tolist())}
+    found = [(at[r["a"]], at[r["b"]]) for r in got.collect()]
+    assert len(found) > 10_000
+
+    def labels(i, j):
+        root = np.arange(len(x))
+        simhash_dedup._tie(root, np.array(i), np.array(j))
+        return root
+
+    linked = [np.nonzero(np.bitwise_count(x[k:k + 500, None] ^ x[None]) <= 3) for k in range(0, len(x), 500)]
+    want = labels(np.concatenate([i + 500 * k for k, (i, _) in enumerate(linked)]), np.concatenate([j for _, j in linked]))
+    assert (labels(*zip(*found)) == want).all()
+
+
 def vectors(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((40, 16))
