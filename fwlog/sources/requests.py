@@ -57,9 +57,11 @@ def with_bulk_lines(requests: DataFrame, body: str = "body") -> DataFrame:
         .when((count == 0) | (count > vocab.BULK_MAX_LINES), 400)
         .otherwise(200)
     )
-    # a filter on the status would otherwise read every document once more for each of its conditions
-    df = fenced(df.select(*keep, status.alias("status"), "__lines"), "status")
-    return df.select(*keep, "status", F.when(F.col("status") == 200, F.col("__lines")).alias("lines"))
+    # a filter on the status or the lines, which a step that explodes them adds by itself, would otherwise read every
+    # document once more for each of its conditions, and even below the steps that make the documents
+    df = fenced(df.select(*keep, F.struct(status.alias("status"), F.col("__lines").alias("lines")).alias("__read")), "__read")
+    status, lines = F.col("__read.status"), F.col("__read.lines")
+    return df.select(*keep, status.alias("status"), F.when(status == 200, lines).alias("lines"))
 
 
 def bulk_lines(requests: DataFrame, body: str = "body") -> DataFrame:
