@@ -266,9 +266,11 @@ def bulk_requests(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> Dat
     """Request documents of 40 lines each, and malformed and oversized ones beside them."""
     e = F.col("e")
     r = F.col("request_id")
-    lines = generated(keyed_events(spark, sf_dir, copies)).select(
-        ((e - e % 40) / 40).cast("bigint").alias("request_id"), apart(e).alias("e"),
-        session_line().alias("value"),
+    keyed = keyed_events(spark, sf_dir, copies).withColumn("request_id", ((e - e % 40) / 40).cast("bigint"))
+    # a request's events are brought together before lines are made of them, which are ten times as wide
+    tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = generated(keyed.repartition(tasks, "request_id")).select(
+        "request_id", apart(e).alias("e"), session_line().alias("value"),
     )
     grouped = lines.groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct("e", "value"))).alias("rows")
@@ -283,7 +285,7 @@ def bulk_requests(spark: SparkSession, sf_dir: str, copies: int = COPIES) -> Dat
         .when(r % 10 == 8, '{"other": 1}')
         .when(r % 10 == 9, many)
     )
-    bad = grouped.select((-r - 1).alias("request_id"), body.alias("body")).filter(F.col("body").isNotNull())
+    bad = keyed.select("request_id").distinct().select((-r - 1).alias("request_id"), body.alias("body")).filter(F.col("body").isNotNull())
     return grouped.select("request_id", good.alias("body")).unionByName(bad)
 
 
